@@ -49,6 +49,15 @@ def contains_any(text: Column, words) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it.
+
+    Keeps a costly value from being copied into every place it is used when the
+    optimizer merges projections or pushes filters down.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def share(part: Column, whole: Column) -> Column:
     """part / whole as a double, 0 where the whole is 0."""
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))

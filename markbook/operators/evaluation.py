@@ -139,49 +139,54 @@ def agreement_metrics(detail: DataFrame, keys: tuple = ()) -> DataFrame:
     Correlation is 0 for a single pair and null if either side is constant; kappa
     is null if all scores are the same.
     """
-    group = [*keys, "__all"]
-    counts = pair_counts(detail, keys).withColumn("__all", F.lit(1))
+    counts = pair_counts(detail, keys)
     h, a = F.col("human_score").cast("double"), F.col("automated_score").cast("double")
-    n = F.col("n").cast("double")
-    weighted = lambda value: F.sum(value * n)
-    sums = counts.groupBy(*group).agg(
-        F.sum("n").alias("total_comparisons"),
-        weighted((h == a).cast("double")).alias("__same"),
-        weighted((F.abs(h - a) <= 1).cast("double")).alias("__near"),
-        weighted(F.abs(h - a)).alias("__error"),
-        weighted(h).alias("__h"),
-        weighted(a).alias("__a"),
-        weighted(h * h).alias("__hh"),
-        weighted(a * a).alias("__aa"),
-        weighted(h * a).alias("__ha"),
-    )
-    sides = F.explode(
-        F.array(
-            F.struct(h.alias("label"), n.alias("by_human"), F.lit(0.0).alias("by_machine")),
-            F.struct(a.alias("label"), F.lit(0.0).alias("by_human"), n.alias("by_machine")),
-        )
+    n, none = F.col("n").cast("double"), F.lit(0.0)
+    sums = {
+        "n": n,
+        "same": (h == a).cast("double") * n,
+        "near": (F.abs(h - a) <= 1).cast("double") * n,
+        "error": F.abs(h - a) * n,
+        "h": h * n,
+        "a": a * n,
+        "hh": h * h * n,
+        "aa": a * a * n,
+        "ha": h * a * n,
+    }
+    # Each pair counts for its human label (with the sums) and its machine label.
+    sides = F.array(
+        F.struct(
+            h.alias("label"), n.alias("by_human"), none.alias("by_machine"),
+            *[v.alias(k) for k, v in sums.items()],
+        ),
+        F.struct(
+            a.alias("label"), none.alias("by_human"), n.alias("by_machine"),
+            *[none.alias(k) for k in sums],
+        ),
+    )
+    by_label = (
+        counts.select(*keys, F.inline(sides))
+        .groupBy(*keys, "label")
+        .agg(*[F.sum(c).alias(c) for c in ("by_human", "by_machine", *sums)])
     )
-    chance = (
-        counts.select(*group, sides.alias("side"))
-        .groupBy(*group, "side.label")
-        .agg(F.sum("side.by_human").alias("h"), F.sum("side.by_machine").alias("a"))
-        .groupBy(*group)
-        .agg(F.sum(F.col("h") * F.col("a")).alias("__chance"))
+    t = by_label.groupBy(*keys).agg(
+        F.sum(F.col("by_human") * F.col("by_machine")).alias("chance"),
+        *[F.sum(c).alias(c) for c in sums],
     )
-    total = F.col("total_comparisons").cast("double")
-    same, expected = F.col("__same") / total, F.col("__chance") / (total * total)
-    cov = total * F.col("__ha") - F.col("__h") * F.col("__a")
-    var_h = total * F.col("__hh") - F.col("__h") * F.col("__h")
-    var_a = total * F.col("__aa") - F.col("__a") * F.col("__a")
-    spread = F.nullif(F.sqrt(var_h) * F.sqrt(var_a), F.lit(0.0))
-    return sums.join(chance, group).select(
+    total = F.col("n")
+    same, expected = F.col("same") / total, F.col("chance") / (total * total)
+    cov = total * F.col("ha") - F.col("h") * F.col("a")
+    var_h = total * F.col("hh") - F.col("h") * F.col("h")
+    var_a = total * F.col("aa") - F.col("a") * F.col("a")
+    spread = F.nullif(F.sqrt(var_h) * F.sqrt(var_a), none)
+    return t.filter(total > 0).select(
         *keys,
-        "total_comparisons",
+        total.cast("bigint").alias("total_comparisons"),
         same.alias("exact_agreement_rate"),
         F.when(total <= 1, 0.0).otherwise(cov / spread).alias("correlation"),
-        (F.col("__error") / total).alias("mean_absolute_error"),
-        ((same - expected) / F.nullif(F.lit(1.0) - expected, F.lit(0.0))).alias("cohens_kappa"),
-        (F.col("__near") / total).alias("within_one_point_agreement"),
+        (F.col("error") / total).alias("mean_absolute_error"),
+        ((same - expected) / F.nullif(F.lit(1.0) - expected, none)).alias("cohens_kappa"),
+        (F.col("near") / total).alias("within_one_point_agreement"),
     )
 
 
@@ -208,19 +213,14 @@ def scoring_advice(metrics: DataFrame, by_type: DataFrame, keys: tuple = ()) ->
     One row per question type is gathered, so groups stay tiny.
     """
     weak = F.col("agreement_rate") < 0.7
-    group = [*keys, "__all"]
-    listed = (
-        by_type.withColumn("__all", F.lit(1))
-        .groupBy(*group)
-        .agg(
-            F.array_sort(
-                F.collect_list(
-                    F.when(
-                        weak, F.struct("first_no", type_advice(F.col("question_type")).alias("text"))
-                    )
+    listed = by_type.groupBy(*keys).agg(
+        F.array_sort(
+            F.collect_list(
+                F.when(
+                    weak, F.struct("first_no", type_advice(F.col("question_type")).alias("text"))
                 )
-            ).alias("__weak")
-        )
+            )
+        ).alias("__weak")
     )
     overall = messages(
         message_if(F.col("exact_agreement_rate") < 0.8, LOW_EXACT),
@@ -228,11 +228,15 @@ def scoring_advice(metrics: DataFrame, by_type: DataFrame, keys: tuple = ()) ->
         message_if(F.col("mean_absolute_error") > 1.0, HIGH_ERROR),
         message_if(F.col("cohens_kappa") < 0.6, LOW_KAPPA),
     )
-    joined = metrics.withColumn("__all", F.lit(1)).join(listed, group, "left")
+    joined = (
+        metrics.join(listed, list(keys), "left")
+        if keys
+        else metrics.withColumn("__weak", listed.scalar())
+    )
     weak_lines = F.coalesce(
         F.transform("__weak", lambda w: w["text"]), F.array().cast("array<string>")
     )
-    return joined.withColumn("recommendations", F.concat(overall, weak_lines)).drop("__weak", "__all")
+    return joined.withColumn("recommendations", F.concat(overall, weak_lines)).drop("__weak")
 
 
 def report_rows(df: DataFrame, section: str, metrics: list[str], keys: tuple = ()) -> DataFrame:

@@ -8,6 +8,8 @@ told apart), and only then given the fixed schema.  No schema is inferred.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +46,6 @@ QUESTION_RULES = (
     ("question_id", "string", True, None),
     ("question_type", "string", True, QUESTION_TYPES),
     ("subject_area", "string", True, SUBJECTS),
-    ("difficulty_level", "integer", True, None),
     ("learning_objective", "string", False, None),
     ("question_text", "string", True, None),
 )
@@ -56,182 +57,169 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("document"))
 
 
-def _get(value: Column, path: str) -> Column:
-    return F.variant_get(value, f"$.{path}", "variant")
+# The rules are written as one SQL expression: it nests deeply, and as text it is
+# parsed in one go.  ``_let`` names a value so that it is computed once.
+
+NOTHING = "cast(array() as array<string>)"
+_names = count()
+
+
+def _let(value: str, body) -> str:
+    name = f"x{next(_names)}"
+    return f"get(transform(array({value}), {name} -> {body(name)}), 0)"
+
 
+def _get(value: str, path: str) -> str:
+    return f"variant_get({value}, '$.{path}', 'variant')"
 
-def _kind(value: Column) -> Column:
+
+def _kind(value: str) -> str:
     """JSON type of a value; null when the value is absent."""
-    name = F.schema_of_variant(value)
-    number = name.isin("DOUBLE", "FLOAT") | name.startswith("DECIMAL")
-    as_double = F.try_variant_get(value, "$", "double")
-    return (
-        F.when(value.isNull(), None)
-        .when(name == "BIGINT", "integer")
-        .when(number & (as_double == F.floor(as_double)), "integer")
-        .when(number, "number")
-        .when(name == "STRING", "string")
-        .when(name == "BOOLEAN", "boolean")
-        .when(name == "VOID", "null")
-        .when(name.startswith("ARRAY"), "array")
-        .otherwise("object")
+    number = f"try_variant_get({value}, '$', 'double')"
+    return _let(
+        f"schema_of_variant({value})",
+        lambda t: f"""case
+          when {t} = 'STRING' then 'string' when {t} = 'BIGINT' then 'integer'
+          when {t} like 'DECIMAL%' or {t} in ('DOUBLE', 'FLOAT')
+            then if({number} = floor({number}), 'integer', 'number')
+          when {t} = 'BOOLEAN' then 'boolean' when {t} = 'VOID' then 'null'
+          when {t} like 'ARRAY%' then 'array' when {t} is not null then 'object' end""",
     )
 
 
-def _elements(value: Column) -> Column:
-    """Array elements; empty when the value is not an array."""
-    given = F.when(_kind(value) == "array", F.try_variant_get(value, "$", "array<variant>"))
-    return F.coalesce(given, F.array().cast("array<variant>"))
+def _type_checks(kind: str, where: str, expected: str, required: bool) -> str:
+    """Messages for a value of another type, or absent though required."""
+    article = "an" if expected[0] in "aio" else "a"
+    missing = f", if({kind} is null, concat({where}, ': missing'), null)" if required else ""
+    return f"array(if({kind} <> '{expected}', concat({where}, ': not {article} {expected}'), null){missing})"
 
 
-def _typed(value: Column, where: Column, kind: str, required: bool) -> list[Column]:
-    """Messages for one field: absent though required, or of another type."""
-    checks = [F.when(F.coalesce(_kind(value) != kind, F.lit(False)), F.concat(where, F.lit(f": not {_article(kind)}")))]
-    if required:
-        checks.append(F.when(value.isNull(), F.concat(where, F.lit(": missing"))))
-    return checks
+def _one_of(choices):
+    """Message for a text that is not among the allowed values."""
+    listed = ", ".join(f"'{c}'" for c in choices)
 
+    def look(value: str, kind: str, at: str) -> str:
+        outside = f"{kind} = 'string' and try_variant_get({value}, '$', 'string') not in ({listed})"
+        return f"array(if({outside}, concat({at}, ': not allowed'), null))"
 
-def _article(kind: str) -> str:
-    return f"{'an' if kind[0] in 'aio' else 'a'} {kind}"
+    return look
 
 
-def _allowed(value: Column, where: Column, choices) -> Column:
-    text = F.try_variant_get(value, "$", "string")
-    return F.when(
-        (_kind(value) == "string") & ~text.isin(*choices), F.concat(where, F.lit(": not allowed"))
-    )
+def _field(parent: str, where: str, name: str, expected: str, required: bool, inside=None) -> str:
+    """Messages of one field: its type, and what ``inside(value, kind, where)`` finds."""
+    at = f"concat({where}, '.{name}')" if where != "''" else f"'{name}'"
+
+    def look(value: str) -> str:
+        def found(kind: str) -> str:
+            more = f", {inside(value, kind, at)}" if inside else ""
+            return f"concat({_type_checks(kind, at, expected, required)}{more})"
+
+        return _let(_kind(value), found)
 
+    return _let(_get(parent, name), look)
 
-def _field_checks(parent: Column, where: Column, rules) -> list[Column]:
-    checks = []
-    for name, kind, required, choices in rules:
-        value = _get(parent, name)
-        at = F.concat(where, F.lit(f".{name}"))
-        checks += _typed(value, at, kind, required)
-        if choices:
-            checks.append(_allowed(value, at, choices))
-    return checks
-
-
-def _list_checks(value: Column, where: Column, kind: str, choices=None) -> Column:
-    """Messages for a list and each of its elements."""
-
-    def element(e: Column, i: Column) -> Column:
-        at = F.concat(where, F.lit("["), i.cast("string"), F.lit("]"))
-        checks = _typed(e, at, kind, False)
-        if choices:
-            checks.append(_allowed(e, at, choices))
-        return F.array(*checks)
-
-    inner = F.flatten(F.transform(_elements(value), element))
-    return F.concat(F.array(*_typed(value, where, "array", False)), inner)
-
-
-def _object_list_checks(value: Column, where: Column, rules) -> Column:
-    """Messages for a list of objects and the fields of each."""
-
-    def element(e: Column, i: Column) -> Column:
-        at = F.concat(where, F.lit("["), i.cast("string"), F.lit("]"))
-        return F.array(*_typed(e, at, "object", False), *_field_checks(e, at, rules))
-
-    inner = F.flatten(F.transform(_elements(value), element))
-    return F.concat(F.array(*_typed(value, where, "array", False)), inner)
-
-
-def _question_checks(q: Column, i: Column) -> Column:
-    at = F.concat(F.lit("questions["), i.cast("string"), F.lit("]"))
-    sub = lambda name: F.concat(at, F.lit(f".{name}"))
-    level = _get(q, "difficulty_level")
-    number = F.try_variant_get(level, "$", "double")
-    stimulus, answer, rubric = (_get(q, n) for n in ("stimulus", "correct_answer", "scoring_rubric"))
-    return F.concat(
-        F.array(
-            *_typed(q, at, "object", False),
-            *_field_checks(q, at, QUESTION_RULES),
-            F.when(
-                _kind(level).isin("integer", "number") & ~number.between(1, 5),
-                F.concat(sub("difficulty_level"), F.lit(": outside 1..5")),
-            ),
-            *_typed(stimulus, sub("stimulus"), "object", False),
-            *_field_checks(
-                stimulus,
-                sub("stimulus"),
-                (
-                    ("type", "string", False, STIMULUS_TYPES),
-                    ("content", "string", False, None),
-                    ("title", "string", False, None),
-                ),
-            ),
-            *_typed(answer, sub("correct_answer"), "object", True),
-            F.when(
-                (_kind(answer) == "object") & _get(answer, "answer").isNull(),
-                F.concat(sub("correct_answer.answer"), F.lit(": missing")),
-            ),
-            *_field_checks(
-                answer,
-                sub("correct_answer"),
-                (("answer", "string", False, None), ("explanation", "string", False, None)),
-            ),
-            *_typed(rubric, sub("scoring_rubric"), "object", True),
-            F.when(
-                (_kind(rubric) == "object") & _get(rubric, "points_possible").isNull(),
-                F.concat(sub("scoring_rubric.points_possible"), F.lit(": missing")),
-            ),
-            *_field_checks(rubric, sub("scoring_rubric"), (("points_possible", "integer", False, None),)),
-        ),
-        _list_checks(
-            _get(answer, "acceptable_variations"), sub("correct_answer.acceptable_variations"), "string"
-        ),
-        _object_list_checks(
-            _get(rubric, "scoring_criteria"),
-            sub("scoring_rubric.scoring_criteria"),
-            (("points", "integer", False, None), ("criteria", "string", False, None)),
-        ),
-        _object_list_checks(
-            _get(q, "options"),
-            sub("options"),
-            (("option_id", "string", True, None), ("text", "string", True, None)),
-        ),
-        _list_checks(_get(q, "tags"), sub("tags"), "string"),
+
+def _fields(parent: str, where: str, rules) -> str:
+    """Messages of all plain fields of an object."""
+    return ", ".join(
+        _field(parent, where, name, kind, required, _one_of(choices) if choices else None)
+        for name, kind, required, choices in rules
     )
 
 
-def with_violations(documents: DataFrame, document: str = "document") -> DataFrame:
-    """Add ``violations``: every rule of the document format a document breaks."""
-    held = "__json"
-    root = F.col(held)
-    meta, questions = _get(root, "test_metadata"), _get(root, "questions")
-    areas = _get(meta, "subject_areas")
-    found = F.concat(
-        F.array(
-            F.when(root.isNull(), F.lit("not JSON")),
-            *[
-                F.when(root.isNotNull(), c)
-                for c in (
-                    *_typed(root, F.lit("document"), "object", False),
-                    *_typed(meta, F.lit("test_metadata"), "object", True),
-                    *_typed(questions, F.lit("questions"), "array", True),
-                )
-            ],
-        ),
-        F.when(
-            _kind(meta) == "object",
-            F.concat(
-                F.array(
-                    *_field_checks(meta, F.lit("test_metadata"), METADATA_RULES),
-                    F.when(areas.isNull(), F.lit("test_metadata.subject_areas: missing")),
-                ),
-                _list_checks(areas, F.lit("test_metadata.subject_areas"), "string", SUBJECTS),
-            ),
-        ).otherwise(F.array().cast("array<string>")),
-        F.flatten(F.transform(_elements(questions), _question_checks)),
+def _list_of(expected: str, inside=None):
+    """Messages of the elements of a list, each of the expected type."""
+
+    def look(value: str, kind: str, where: str) -> str:
+        e, i = f"e{next(_names)}", f"i{next(_names)}"
+        at = f"concat({where}, '[', {i}, ']')"
+
+        def found(k: str) -> str:
+            more = f", {inside(e, k, at)}" if inside else ""
+            return f"concat({_type_checks(k, at, expected, False)}{more})"
+
+        elements = f"""coalesce(if({kind} = 'array', try_variant_get({value}, '$', 'array<variant>'), null),
+          cast(array() as array<variant>))"""
+        return f"flatten(transform({elements}, ({e}, {i}) -> {_let(_kind(e), found)}))"
+
+    return look
+
+
+def _object_with(rules, *lists, required: str | None = None):
+    """Messages of the fields of an object: plain ones, lists, one possibly required."""
+
+    def look(value: str, kind: str, at: str) -> str:
+        parts = [_fields(value, at, rules)]
+        parts += [_field(value, at, n, "array", False, _list_of(t, f)) for n, t, f in lists]
+        if required:
+            absent = f"{_get(value, required)} is null"
+            parts.append(f"array(if({absent}, concat({at}, '.{required}: missing'), null))")
+        return f"if({kind} = 'object', concat({', '.join(parts)}), {NOTHING})"
+
+    return look
+
+
+def _within_levels(value: str, kind: str, at: str) -> str:
+    number = f"try_variant_get({value}, '$', 'double')"
+    outside = f"{kind} in ('integer', 'number') and {number} not between 1 and 5"
+    return f"array(if({outside}, concat({at}, ': outside 1..5'), null))"
+
+
+def _question(value: str, kind: str, at: str) -> str:
+    """Messages of one question."""
+    text = lambda name, required=False: (name, "string", required, None)
+    answer = _object_with(
+        (text("answer"), text("explanation")),
+        ("acceptable_variations", "string", None),
+        required="answer",
     )
-    return (
-        documents.withColumn(held, F.try_parse_json(document))
-        .withColumn("violations", F.filter(found, lambda v: v.isNotNull()))
-        .drop(held)
+    criterion = _object_with((("points", "integer", False, None), text("criteria")))
+    rubric = _object_with(
+        (("points_possible", "integer", False, None),),
+        ("scoring_criteria", "object", criterion),
+        required="points_possible",
+    )
+    stimulus = _object_with(
+        (("type", "string", False, STIMULUS_TYPES), text("content"), text("title"))
     )
+    option = _object_with((text("option_id", True), text("text", True)))
+    found = ", ".join(
+        (
+            _fields(value, at, QUESTION_RULES),
+            _field(value, at, "difficulty_level", "integer", True, _within_levels),
+            _field(value, at, "stimulus", "object", False, stimulus),
+            _field(value, at, "correct_answer", "object", True, answer),
+            _field(value, at, "scoring_rubric", "object", True, rubric),
+            _field(value, at, "options", "array", False, _list_of("object", option)),
+            _field(value, at, "tags", "array", False, _list_of("string")),
+        )
+    )
+    return f"if({kind} = 'object', concat({found}), {NOTHING})"
+
+
+def _metadata(value: str, kind: str, at: str) -> str:
+    areas = _field(
+        value, at, "subject_areas", "array", True, _list_of("string", _one_of(SUBJECTS))
+    )
+    return f"if({kind} = 'object', concat({_fields(value, at, METADATA_RULES)}, {areas}), {NOTHING})"
+
+
+def violations(document: str) -> Column:
+    """Every rule of the document format that a JSON text column breaks, as an array."""
+
+    def rules(root: str) -> str:
+        return f"""if({root} is null, array('not JSON'), filter(concat(
+          {_type_checks(_kind(root), "'document'", 'object', False)},
+          {_field(root, "''", 'test_metadata', 'object', True, _metadata)},
+          {_field(root, "''", 'questions', 'array', True, _list_of('object', _question))}
+        ), v -> v is not null))"""
+
+    return F.expr(_let(f"try_parse_json(`{document}`)", rules))
+
+
+def with_violations(documents: DataFrame, document: str = "document") -> DataFrame:
+    """Add ``violations`` to raw documents."""
+    return documents.withColumn("violations", violations(document))
 
 
 def parse_documents(documents: DataFrame, document: str = "document") -> DataFrame:
