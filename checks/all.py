@@ -2,4 +2,11 @@
 
 
 def load() -> None:
-    from checks import quality_queries, text_queries  # noqa: F401
+    from checks import (  # noqa: F401
+        generate_queries,
+        prepare_queries,
+        quality_queries,
+        run_queries,
+        scoring_queries,
+        text_queries,
+    )

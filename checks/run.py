@@ -41,7 +41,7 @@ def main(sf: str, names: list[str]) -> int:
             "spark.ui.showConsoleProgress": "false",
         },
     )
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     path = f"/root/testdata/{sf}"
     db = duckdb.connect()
     for t in TABLES:

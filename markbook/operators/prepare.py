@@ -221,13 +221,14 @@ def split_statistics(split: DataFrame) -> DataFrame:
     """
     names = [F.col(c).cast("string").alias(c) for c in STATISTICS]
     fine = split.select("split", *names).groupBy("split", *STATISTICS).agg(F.count("*").alias("n"))
+    entry = lambda statistic, value: F.struct(
+        F.lit(statistic).alias("statistic"), value.alias("value")
+    )
+    in_training = lambda c: F.when(F.col("split") == "train", F.col(c))
     entries = F.array(
-        F.struct(F.lit("examples").alias("statistic"), F.lit("total").alias("value")),
-        F.struct(F.lit("examples"), F.col("split")),
-        *[
-            F.struct(F.lit(f"{c}_distribution"), F.when(F.col("split") == "train", F.col(c)))
-            for c in STATISTICS
-        ],
+        entry("examples", F.lit("total")),
+        entry("examples", F.col("split")),
+        *[entry(f"{c}_distribution", in_training(c)) for c in STATISTICS],
     )
     return (
         fine.select("n", F.inline(entries))
