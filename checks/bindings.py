@@ -11,10 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markbook.config import QUESTION_TYPES
+from markbook.sources.tables import read_table, spread
+
+
+# Tables whose queries do heavy work per row.
+WORKED = {"documents", "conversations", "customer"}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = read_table(spark, f"{sf}/{name}.parquet")
+    return spread(df) if name in WORKED else df
 
 
 QUESTIONS = """

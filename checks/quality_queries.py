@@ -361,8 +361,7 @@ def agreement_by_type(spark, sf):
     from metrics, weak""",
 )
 def scoring_advice(spark, sf):
-    pairs = _label_pairs(spark, sf)
-    a = ev.scoring_advice(ev.agreement_metrics(pairs), ev.agreement_by_type(pairs))
+    a = ev.scoring_advice(_label_pairs(spark, sf))
     return a.select(joined("recommendations", "recommendations"))
 
 
@@ -423,11 +422,8 @@ def document_rules(spark, sf):
 )
 def valid_documents(spark, sf):
     parsed = docs.parse_documents(_documents(spark, sf))
-    matches = parsed.select("doc_id", "count_matches")
-    flat = docs.flatten_questions(parsed).withColumn(
-        "doc_id", F.substring_index("question_id", "q", -1).cast("bigint")
-    )
-    return flat.join(matches, "doc_id").select(
+    flat = docs.flatten_questions(parsed, ("doc_id", "count_matches"))
+    return flat.select(
         "doc_id",
         "test_id",
         big("question_no"),

@@ -133,51 +133,77 @@ def pair_counts(detail: DataFrame, keys: tuple = ()) -> DataFrame:
     return detail.groupBy(*keys, "human_score", "automated_score").agg(F.count("*").alias("n"))
 
 
-def agreement_metrics(detail: DataFrame, keys: tuple = ()) -> DataFrame:
-    """Exact and within-one agreement, mean error, correlation and kappa per group.
+def agreement_by_type(detail: DataFrame, keys: tuple = ()) -> DataFrame:
+    """Share of equal scores per question type."""
+    return detail.groupBy(*keys, "question_type").agg(
+        F.avg(F.col("agreement").cast("double")).alias("agreement_rate"),
+        F.count("*").alias("n"),
+        F.min("question_no").alias("first_no"),
+    )
 
-    Correlation is 0 for a single pair and null if either side is constant; kappa
-    is null if all scores are the same.
+
+def type_advice(question_type: Column) -> Column:
+    return F.concat(
+        F.lit("Scoring accuracy for "),
+        question_type,
+        F.lit(" questions is low. Review specific scoring logic."),
+    )
+
+
+# Sums over the counted pairs of scores; h and a stand for the two scores.
+SUMS = ("n", "same", "near", "error", "h", "a", "hh", "aa", "ha")
+
+
+def _label_sums(counts: DataFrame, keys: tuple, *more: Column) -> DataFrame:
+    """Pair counts to one row per label (``kind`` label) and whatever ``more`` adds.
+
+    Each pair counts once for its human label, with the sums, and once for its
+    machine label; the product of both counts per label gives the agreement
+    expected by chance.
     """
-    counts = pair_counts(detail, keys)
     h, a = F.col("human_score").cast("double"), F.col("automated_score").cast("double")
     n, none = F.col("n").cast("double"), F.lit(0.0)
-    sums = {
-        "n": n,
-        "same": (h == a).cast("double") * n,
-        "near": (F.abs(h - a) <= 1).cast("double") * n,
-        "error": F.abs(h - a) * n,
-        "h": h * n,
-        "a": a * n,
-        "hh": h * h * n,
-        "aa": a * a * n,
-        "ha": h * a * n,
-    }
-    # Each pair counts for its human label (with the sums) and its machine label.
-    sides = F.array(
-        F.struct(
-            h.alias("label"), n.alias("by_human"), none.alias("by_machine"),
-            *[v.alias(k) for k, v in sums.items()],
-        ),
-        F.struct(
-            a.alias("label"), none.alias("by_human"), n.alias("by_machine"),
-            *[none.alias(k) for k in sums],
-        ),
+    values = (
+        n, (h == a).cast("double") * n, (F.abs(h - a) <= 1).cast("double") * n, F.abs(h - a) * n,
+        h * n, a * n, h * h * n, a * a * n, h * a * n,
     )
-    by_label = (
-        counts.select(*keys, F.inline(sides))
-        .groupBy(*keys, "label")
-        .agg(*[F.sum(c).alias(c) for c in ("by_human", "by_machine", *sums)])
+
+    def side(label: Column, by_human: Column, by_machine: Column, counted: bool) -> Column:
+        return F.struct(
+            F.lit("label").alias("kind"),
+            label.cast("string").alias("name"),
+            by_human.alias("by_human"),
+            by_machine.alias("by_machine"),
+            *[(v if counted else none).alias(c) for c, v in zip(SUMS, values)],
+            F.lit(None).cast("int").alias("first_no"),
+        )
+
+    rows = F.array(side(h, n, none, True), side(a, none, n, False), *more)
+    return (
+        counts.select(*keys, F.inline(rows))
+        .groupBy(*keys, "kind", "name")
+        .agg(
+            *[F.sum(c).alias(c) for c in ("by_human", "by_machine", *SUMS)],
+            F.min("first_no").alias("first_no"),
+        )
     )
-    t = by_label.groupBy(*keys).agg(
-        F.sum(F.col("by_human") * F.col("by_machine")).alias("chance"),
-        *[F.sum(c).alias(c) for c in sums],
+
+
+def _metrics(labels: DataFrame, keys: tuple, *more: Column) -> DataFrame:
+    """Label rows to one row of metrics per group, with further aggregates."""
+    label = F.col("kind") == "label"
+    t = labels.groupBy(*keys).agg(
+        F.sum(F.when(label, F.col("by_human") * F.col("by_machine"))).alias("chance"),
+        *[F.sum(F.when(label, F.col(c))).alias(c) for c in SUMS],
+        *more,
     )
+    kept = [c for c in t.columns if c not in (*keys, "chance", *SUMS)]
     total = F.col("n")
     same, expected = F.col("same") / total, F.col("chance") / (total * total)
     cov = total * F.col("ha") - F.col("h") * F.col("a")
     var_h = total * F.col("hh") - F.col("h") * F.col("h")
     var_a = total * F.col("aa") - F.col("a") * F.col("a")
+    none = F.lit(0.0)
     spread = F.nullif(F.sqrt(var_h) * F.sqrt(var_a), none)
     return t.filter(total > 0).select(
         *keys,
@@ -187,56 +213,51 @@ def agreement_metrics(detail: DataFrame, keys: tuple = ()) -> DataFrame:
         (F.col("error") / total).alias("mean_absolute_error"),
         ((same - expected) / F.nullif(F.lit(1.0) - expected, none)).alias("cohens_kappa"),
         (F.col("near") / total).alias("within_one_point_agreement"),
+        *kept,
     )
 
 
-def agreement_by_type(detail: DataFrame, keys: tuple = ()) -> DataFrame:
-    """Share of equal scores per question type."""
-    return detail.groupBy(*keys, "question_type").agg(
-        F.avg(F.col("agreement").cast("double")).alias("agreement_rate"),
-        F.count("*").alias("n"),
-        F.min("question_no").alias("first_no"),
-    )
-
+def agreement_metrics(detail: DataFrame, keys: tuple = ()) -> DataFrame:
+    """Exact and within-one agreement, mean error, correlation and kappa per group.
 
-def type_advice(question_type: Column) -> Column:
-    return F.concat(
-        F.lit("Scoring accuracy for "),
-        question_type,
-        F.lit(" questions is low. Review specific scoring logic."),
-    )
+    Correlation is 0 for a single pair and null if either side is constant; kappa
+    is null if all scores are the same.
+    """
+    return _metrics(_label_sums(pair_counts(detail, keys), keys), keys)
 
 
-def scoring_advice(metrics: DataFrame, by_type: DataFrame, keys: tuple = ()) -> DataFrame:
-    """Advice on scoring: overall lines, then weak question types in test order.
+def scoring_advice(detail: DataFrame, keys: tuple = ()) -> DataFrame:
+    """Metrics with advice: overall lines, then weak question types in test order.
 
-    One row per question type is gathered, so groups stay tiny.
+    One pass over the detail: question types are counted along with the labels.
+    One line per weak type is gathered, so groups stay tiny.
     """
-    weak = F.col("agreement_rate") < 0.7
-    listed = by_type.groupBy(*keys).agg(
-        F.array_sort(
-            F.collect_list(
-                F.when(
-                    weak, F.struct("first_no", type_advice(F.col("question_type")).alias("text"))
-                )
-            )
-        ).alias("__weak")
+    counts = detail.groupBy(*keys, "question_type", "human_score", "automated_score").agg(
+        F.count("*").alias("n"), F.min("question_no").cast("int").alias("first_no")
+    )
+    n, none = F.col("n").cast("double"), F.lit(0.0)
+    equal = (F.col("human_score") == F.col("automated_score")).cast("double")
+    of_type = F.struct(
+        F.lit("type").alias("kind"),
+        F.col("question_type").alias("name"),
+        none.alias("by_human"),
+        none.alias("by_machine"),
+        *[{"n": n, "same": equal * n}.get(c, none).alias(c) for c in SUMS],
+        F.col("first_no").alias("first_no"),
     )
+    weak = (F.col("kind") == "type") & (F.col("same") / F.col("n") < 0.7)
+    lines = F.array_sort(
+        F.collect_list(F.when(weak, F.struct("first_no", type_advice(F.col("name")).alias("text"))))
+    )
+    metrics = _metrics(_label_sums(counts, keys, of_type), keys, lines.alias("__weak"))
     overall = messages(
         message_if(F.col("exact_agreement_rate") < 0.8, LOW_EXACT),
         message_if(F.col("correlation") < 0.7, LOW_CORRELATION),
         message_if(F.col("mean_absolute_error") > 1.0, HIGH_ERROR),
         message_if(F.col("cohens_kappa") < 0.6, LOW_KAPPA),
     )
-    joined = (
-        metrics.join(listed, list(keys), "left")
-        if keys
-        else metrics.withColumn("__weak", listed.scalar())
-    )
-    weak_lines = F.coalesce(
-        F.transform("__weak", lambda w: w["text"]), F.array().cast("array<string>")
-    )
-    return joined.withColumn("recommendations", F.concat(overall, weak_lines)).drop("__weak")
+    weak_lines = F.transform("__weak", lambda w: w["text"])
+    return metrics.withColumn("recommendations", F.concat(overall, weak_lines)).drop("__weak")
 
 
 def report_rows(df: DataFrame, section: str, metrics: list[str], keys: tuple = ()) -> DataFrame:

@@ -248,13 +248,14 @@ def rejected_documents(documents: DataFrame, document: str = "document") -> Data
     return with_violations(documents, document).filter(F.size("violations") > 0)
 
 
-def flatten_questions(tests: DataFrame) -> DataFrame:
+def flatten_questions(tests: DataFrame, keep: tuple = ()) -> DataFrame:
     """One row per question, in order (``question_no`` from 0), metadata carried."""
     return tests.select(
+        *keep,
         F.col("test_metadata.test_id").alias("test_id"),
         F.col("test_metadata"),
         F.posexplode("questions").alias("question_no", "question"),
-    ).select("test_id", "test_metadata", "question_no", "question.*")
+    ).select(*keep, "test_id", "test_metadata", "question_no", "question.*")
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
