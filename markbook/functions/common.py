@@ -25,6 +25,17 @@ def has_items(array: Column) -> Column:
     return F.coalesce(F.size(array) > 0, F.lit(False))
 
 
+def drop_words(words: Column, unwanted) -> Column:
+    """The array without blanks and the unwanted words.
+
+    The list is written into one SQL lambda: as a set of literals it is looked up
+    by hash, and building it takes one call rather than one per word.
+    """
+    listed = ", ".join("'" + w.replace("'", "\\'") + "'" for w in unwanted)
+    keep = f"w -> w <> '' and w not in ({listed})" if listed else "w -> w <> ''"
+    return F.call_function("filter", words, F.expr(keep))
+
+
 def clamp(value: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), value))
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from markbook.config import DEFAULT, Config
+from markbook.functions.common import drop_words
 from markbook.functions.stemming import stem_words
 
 # The vectoriser's words, and the weight of a term held by one
@@ -35,10 +36,7 @@ RARE_WEIGHT = math.log(3 / 2) + 1
 def content_words(text: Column, cfg: Config = DEFAULT) -> Column:
     """Lower-case words without punctuation and stop words, joined by a space."""
     lowered = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9]+", " ")
-    words = F.filter(
-        F.split(F.trim(lowered), " "), lambda w: (w != "") & ~w.isin(*cfg.stop_words)
-    )
-    return F.array_join(words, " ")
+    return F.array_join(drop_words(F.split(F.trim(lowered), " "), cfg.stop_words), " ")
 
 
 def normalize(text: Column, cfg: Config = DEFAULT) -> Column:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from markbook.functions.common import (
     clamp,
     contains_any,
+    drop_words,
     message_if,
     messages,
     strip,
@@ -200,9 +201,7 @@ def language_quality(text: Column, m: Metrics) -> Column:
 
 def question_concepts(text: Column, stop_words) -> Column:
     """Lower-case tokens of a question that are not stop words, repeats kept."""
-    return F.filter(
-        word_tokens(F.lower(F.coalesce(text, F.lit("")))), lambda t: ~t.isin(*stop_words)
-    )
+    return drop_words(word_tokens(F.lower(F.coalesce(text, F.lit("")))), stop_words)
 
 
 def concept_hits(concepts: Column, lowered_response: Column) -> Column:
