@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from markbook.plans.joins import SMALL_BYTES, SMALL_ROWS
 from markbook.functions.lexicon import ENGLISH_STOP_WORDS, vectorizer_stop_words
 
 SUBJECTS = ("reading_comprehension", "vocabulary", "writing", "language_conventions")
@@ -82,9 +83,10 @@ class Config:
 
     # Name of the assessment programme, put into prompts and test ids.
     programme: str = ""
-    # A question or test may hold a third of all responses: lookups on those
-    # keys are spread over this many salted copies of the lookup side.
-    join_salts: int = 8
+    # A question bank within these bounds is broadcast; a larger one is joined by
+    # shuffle, its hot questions spread over several tasks.
+    small_bank_rows: int = SMALL_ROWS
+    small_bank_bytes: int = SMALL_BYTES
     # One test is written as one JSON document; a larger one is an error.
     max_questions_per_document: int = 100_000
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from markbook.config import DEFAULT, Config
 from markbook.functions.common import message_if, messages, share
 from markbook.operators.quality import is_high_quality, is_low_quality
-from markbook.operators.scoring import score_responses
+from markbook.operators.scoring import Bank, score_responses
 
 # Advice on question sets and on scoring.
 LOW_OVERALL = "Overall question quality needs improvement. Focus on content appropriateness and clarity."
@@ -101,7 +101,7 @@ def quality_advice(summary: DataFrame, balances: DataFrame, keys: tuple = ("test
     )
 
 
-def agreement_detail(bank: DataFrame, human: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def agreement_detail(bank: Bank, human: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Score the responses people have scored; one row per pair of scores.
 
     ``human`` has test_id, question_id, student_response and points_earned; scores

@@ -12,6 +12,8 @@ not concern a row's type gets null text and does no work.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from markbook.functions import text as tx
 from markbook.functions.common import choose, is_blank, message_if, share, strip, true_or
 from markbook.functions.similarity import content_words, similarity
 from markbook.functions.stemming import stem_words
-from markbook.plans.joins import first_match, lookup_join
+from markbook.plans.joins import first_match, hot_keys, is_small, lookup_join
 
 # Feedback texts.
 EXACT = "Exact match with correct answer"
@@ -178,12 +180,24 @@ def extended_feedback(analysis: Column, points: Column, possible: Column) -> Col
 # --- the bank and the items ------------------------------------------------
 
 
-def prepare_bank(questions: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+class Bank(NamedTuple):
+    """A prepared question bank, and whether it is small enough to be broadcast."""
+
+    questions: DataFrame
+    small: bool
+
+
+def prepare_bank(questions: DataFrame, cfg: Config = DEFAULT) -> Bank:
     """What scoring needs of each question, worked out once per question.
 
-    Keeps the first question where an id occurs twice in a test.
+    Keeps the first question where an id occurs twice in a test.  The size of the
+    bank is measured here, on at most ``small_bank_rows`` rows of the input.
     """
     kind = F.col("question_type")
+    needed = questions.select(
+        *KEY, "question_no", kind, "subject_area", "question_text", "correct_answer", "scoring_rubric"
+    )
+    small = is_small(needed, cfg.small_bank_rows, cfg.small_bank_bytes)
     wordings = F.concat(
         F.array(F.coalesce("correct_answer.answer", F.lit(""))),
         F.coalesce("correct_answer.acceptable_variations", F.array().cast("array<string>")),
@@ -210,7 +224,7 @@ def prepare_bank(questions: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     )
     forms = F.transform(F.split("__stems", BREAK), lambda s: F.trim(s))
     bank = bank.withColumn("forms", forms).drop("__stems")
-    return first_match(bank, KEY, "question_no")
+    return Bank(first_match(bank, KEY, "question_no"), small)
 
 
 def score_items(items: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -293,33 +307,34 @@ def score_items(items: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 
 def score_responses(
-    bank: DataFrame, responses: DataFrame, cfg: Config = DEFAULT
-) -> DataFrame:
-    """Score responses to known questions; responses to unknown ids are dropped."""
-    return score_items(lookup_join(responses, bank, KEY, cfg.join_salts), cfg)
-
-
-def expected_answers(
-    bank: DataFrame, responses: DataFrame, cfg: Config = DEFAULT
+    bank: Bank, responses: DataFrame, cfg: Config = DEFAULT, hot: DataFrame | None = None
 ) -> DataFrame:
-    """Every question of every test a student sat, with the response or an empty one.
+    """Score responses to known questions; responses to unknown ids are dropped.
 
-    Only ids and response text are shuffled here; the wide question columns join
-    later.  Of several responses to one question the greatest counts.
+    ``hot`` names keys with many responses where the caller knows them already.
     """
-    seat = ["student_id", "test_id"]
-    given = responses.groupBy(*seat, "question_id").agg(F.max("response").alias("response"))
-    sittings = responses.select(*seat).distinct()
-    asked = lookup_join(sittings, bank.select(*KEY), ["test_id"], cfg.join_salts)
-    return asked.join(given, [*seat, "question_id"], "left")
+    return score_items(lookup_join(responses, bank.questions, KEY, bank.small, hot), cfg)
 
 
 def score_tests(
     questions: DataFrame, responses: DataFrame, cfg: Config = DEFAULT
 ) -> DataFrame:
-    """Item scores of all students, one row per student, test and question."""
+    """Item scores of all students, one row per student, test and question.
+
+    Every question of every test a student sat is scored, with the response or an
+    empty one.  Only ids and response text are shuffled; the wide question columns
+    join afterwards.  Of several responses to one question the greatest counts.
+    """
     bank = prepare_bank(questions, cfg)
-    return score_responses(bank, expected_answers(bank, responses, cfg), cfg)
+    seat = ["student_id", "test_id"]
+    given = responses.groupBy(*seat, "question_id").agg(F.max("response").alias("response"))
+    sittings = responses.select(*seat).distinct()
+    # A test sat by many makes all its questions hot.
+    hot = None if bank.small else hot_keys(sittings, ["test_id"])
+    ids = bank.questions.select(*KEY)
+    asked = lookup_join(sittings, ids, ["test_id"], bank.small, hot)
+    expected = asked.join(given, [*seat, "question_id"], "left")
+    return score_responses(bank, expected, cfg, hot)
 
 
 # --- roll-ups --------------------------------------------------------------

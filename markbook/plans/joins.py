@@ -1,7 +1,7 @@
 """Join shapes used by the operators.
 
-No join carries a broadcast hint: Spark broadcasts a side only after checking
-its size (the estimate when planning, the measured size with adaptive execution).
+A lookup table is broadcast only after its size has been checked.  A larger one
+is joined by shuffle, with the keys that hold many rows spread over several tasks.
 """
 
 from __future__ import annotations
@@ -9,26 +9,76 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+SMALL_ROWS = 50_000
+SMALL_BYTES = 32 << 20
+# A key holding more than one row in this many is hot; there are at most so many.
+SLICES = 10_000
 
-def lookup_join(
-    facts: DataFrame, lookup: DataFrame, on: list[str], salts: int, how: str = "inner"
+
+def is_small(df: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES) -> bool:
+    """Whether a table holds at most so many rows and bytes of text and nested data.
+
+    Reads no more than ``max_rows + 1`` rows, so call it on a plain scan.
+    """
+    sizes = [
+        F.octet_length(f"`{name}`" if kind == "string" else F.to_json(F.struct(f"`{name}`")))
+        for name, kind in df.dtypes
+        if kind == "string" or "<" in kind
+    ]
+    total = sum((F.coalesce(s, F.lit(0)) for s in sizes), F.lit(0)).cast("bigint")
+    found = df.limit(max_rows + 1).agg(F.count("*").alias("n"), F.sum(total).alias("b")).first()
+    return found.n <= max_rows and (found.b or 0) <= max_bytes
+
+
+def hot_keys(facts: DataFrame, by: list[str], slices: int = SLICES) -> DataFrame:
+    """Keys holding more than 1/slices of all rows, and how many salts each needs.
+
+    Fewer than ``slices`` keys can hold that much, which bounds the result.
+    """
+    counts = facts.groupBy(*by).agg(F.count("*").alias("__n"))
+    total = counts.agg(F.sum("__n")).scalar()
+    part = F.col("__n") * F.lit(slices) / F.nullif(total, F.lit(0))
+    return counts.filter(part > 1).select(*by, F.ceil(part).cast("int").alias("__salts"))
+
+
+def skew_join(
+    facts: DataFrame, lookup: DataFrame, on: list[str], hot: DataFrame, how: str = "inner"
 ) -> DataFrame:
-    """Join facts to a lookup table whose keys may be hot on the fact side.
+    """Shuffled join in which every hot key is spread over its salts.
 
-    A small lookup is broadcast by Spark.  For a large one the join is shuffled;
-    then each key is spread over ``salts`` tasks: every lookup row is repeated
-    once per salt and every fact takes one salt, so no pair is matched twice.
-    The salt is a hash of the fact's own columns, hence equal when a task is
-    run again.
+    A fact takes one salt of its key, by the hash of its own columns, so a task
+    run again deals rows out alike; lookup rows of a hot key are repeated once per
+    salt.  Each pair meets exactly once.  ``hot`` may hold part of the join keys.
     """
-    if salts <= 1:
-        return facts.join(lookup, on, how)
+    by = [c for c in hot.columns if c != "__salts"]
+    few = F.broadcast(hot)  # fewer than SLICES rows, see hot_keys
+    salts = F.coalesce("__salts", F.lit(1))
     own = [F.col(f"`{name}`") for name, kind in facts.dtypes if not kind.startswith("map")]
-    salted = facts.withColumn("__salt", F.pmod(F.xxhash64(*own), F.lit(salts)))
-    copies = lookup.withColumn(
-        "__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
+    dealt = facts.join(few, by, "left").withColumn("__salt", F.pmod(F.xxhash64(*own), salts).cast("int"))
+    copies = lookup.join(few, by, "left").withColumn(
+        "__salt", F.explode(F.sequence(F.lit(0), salts - 1))
     )
-    return salted.join(copies, [*on, "__salt"], how).drop("__salt")
+    joined = dealt.drop("__salts").join(copies.drop("__salts"), [*on, "__salt"], how)
+    return joined.drop("__salt")
+
+
+def lookup_join(
+    facts: DataFrame,
+    lookup: DataFrame,
+    on: list[str],
+    small: bool,
+    hot: DataFrame | None = None,
+    how: str = "inner",
+) -> DataFrame:
+    """Join facts to a lookup table: broadcast if known to be small, else spread hot keys.
+
+    Streams cannot be counted; they join a large lookup by a plain shuffle.
+    """
+    if small:
+        return facts.join(F.broadcast(lookup), on, how)
+    if facts.isStreaming:
+        return facts.join(lookup, on, how)
+    return skew_join(facts, lookup, on, hot_keys(facts, on) if hot is None else hot, how)
 
 
 def first_match(df: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from markbook.config import DEFAULT, Config
-from markbook.operators.scoring import score_responses
+from markbook.operators.scoring import Bank, score_responses
 
 RESPONSE_SCHEMA = "student_id string, test_id string, question_id string, response string"
 
@@ -21,7 +21,7 @@ def read_response_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(RESPONSE_SCHEMA).json(path)
 
 
-def score_stream(bank: DataFrame, responses: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def score_stream(bank: Bank, responses: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Item scores of a stream of responses; ``bank`` comes from ``prepare_bank``."""
     return score_responses(bank, responses, cfg)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from markbook.config import DEFAULT, Config
 from markbook.functions.stemming import stem
 from markbook.operators import scoring as sc
-from markbook.plans.joins import first_match, lookup_join
+from markbook.plans.joins import first_match, hot_keys, is_small, lookup_join, skew_join
 from markbook.sources import documents as docs
 from tests.test_similarity import cosine_twin
 from tests.test_text import tokens_twin
@@ -156,18 +156,34 @@ def test_grades_are_monotone(spark):
     assert (letters[59], letters[60], letters[70], letters[80], letters[90]) == ("F", "D", "C", "B", "A")
 
 
-def test_salted_lookup_matches_every_pair_once(spark):
+def test_hot_keys_are_spread_and_every_pair_met_once(spark):
     facts = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"))
     lookup = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    lookup = lookup.unionByName(lookup.filter("k = 7").withColumn("v", F.lit(-1)))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
-    try:
-        for how in ("inner", "left"):
-            salted = lookup_join(facts, lookup, ["k"], 5, how)
-            plain = facts.join(lookup, ["k"], how)
-            assert sorted(map(tuple, salted.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lookup = lookup.unionByName(lookup.filter("k in (0, 7)").withColumn("v", F.lit(-1)))
+    hot = hot_keys(facts, ["k"], slices=10)
+    assert [tuple(r) for r in hot.collect()] == [(0, 4)]
+    for how in ("inner", "left"):
+        plain = facts.join(lookup, ["k"], how)
+        for got in (skew_join(facts, lookup, ["k"], hot, how), lookup_join(facts, lookup, ["k"], False, how=how)):
+            assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+
+
+def test_size_check_reads_text_and_rows(spark):
+    df = spark.range(10).select(F.repeat(F.lit("x"), 100).alias("t"), F.array(F.lit(1)).alias("a"))
+    assert is_small(df)
+    assert not is_small(df, max_rows=9) and not is_small(df, max_bytes=999)
+
+
+def test_large_bank_gives_the_same_scores(spark, sample):
+    questions = bank_of(spark, sample)
+    rows = [(f"s{i}", "T1", q, "B delicate") for i in range(40) for q in ("Q001", "Q002", "Q003") if (i + int(q[-1])) % 4]
+    responses = responses_of(spark, rows)
+    pick = lambda df: sorted(map(tuple, df.select("student_id", "question_id", "points_earned", "feedback").collect()))
+    small = pick(sc.score_tests(questions, responses))
+    assert len(small) == 120
+    assert small == pick(sc.score_tests(questions, responses, Config(small_bank_rows=1)))
+    bank = sc.prepare_bank(questions, Config(small_bank_bytes=1))
+    assert not bank.small and sc.score_responses(bank, responses).count() == len(rows)
 
 
 def test_first_match_and_duplicate_responses(spark, sample):
