@@ -348,23 +348,42 @@ def agreement_by_type(spark, sf):
     return t.select("question_type", r6("agreement_rate"), "n", big("first_no"))
 
 
+SCORING_ADVICE_SQL = f"""{PAIRS_SQL}, {BY_TYPE_SQL}, {_metric_sql('')},
+weak as (select list('Scoring accuracy for ' || question_type || ' questions is low. Review specific scoring logic.' order by first_no)
+   filter (rate < 0.7) as lines from by_type),
+advised as (select metrics.*, list_concat(list_filter([
+  case when exact < 0.8 then '{ev.LOW_EXACT}' end,
+  case when correlation < 0.7 then '{ev.LOW_CORRELATION}' end,
+  case when mae > 1.0 then '{ev.HIGH_ERROR}' end,
+  case when kappa < 0.6 then '{ev.LOW_KAPPA}' end], lambda m: m is not null), coalesce(lines, [])) as advice
+from metrics, weak)"""
+
+
 @query(
     "scoring_advice",
-    f"""with {PAIRS_SQL}, {BY_TYPE_SQL}, {_metric_sql('')},
-    weak as (select list('Scoring accuracy for ' || question_type || ' questions is low. Review specific scoring logic.' order by first_no)
-       filter (rate < 0.7) as lines from by_type)
-    select array_to_string(list_concat(list_filter([
-      case when exact < 0.8 then '{ev.LOW_EXACT}' end,
-      case when correlation < 0.7 then '{ev.LOW_CORRELATION}' end,
-      case when mae > 1.0 then '{ev.HIGH_ERROR}' end,
-      case when kappa < 0.6 then '{ev.LOW_KAPPA}' end], lambda m: m is not null), coalesce(lines, [])), ' | ') as recommendations
-    from metrics, weak""",
+    f"with {SCORING_ADVICE_SQL} select array_to_string(advice, ' | ') as recommendations from advised",
 )
 def scoring_advice(spark, sf):
     a = ev.scoring_advice(_label_pairs(spark, sf))
     return a.select(joined("recommendations", "recommendations"))
 
 
+@query(
+    "agreement_report",
+    f"""with {SCORING_ADVICE_SQL}, m as (
+      select 1 as rank, 'total_comparisons' as metric, total_comparisons::double as value, null::varchar as text from advised
+      union all select 2, 'exact_agreement_rate', exact, null from advised
+      union all select 3, 'correlation', correlation, null from advised
+      union all select 4, 'mean_absolute_error', mae, null from advised
+      union all select 5, 'cohens_kappa', kappa, null from advised
+      union all select 5 + unnest(range(1, len(advice) + 1)), 'recommendation', null, unnest(advice) from advised)
+    select 'scoring' as section, rank::bigint as rank, metric, round(value, 6) as value, text from m""",
+)
+def agreement_report(spark, sf):
+    r = ev.report_rows(ev.scoring_advice(_label_pairs(spark, sf)), "scoring", ev.AGREEMENT_REPORT)
+    return r.select("section", big("rank"), "metric", r6("value"), "text")
+
+
 # --- documents -------------------------------------------------------------
 
 DOCUMENT_RULES = f"""

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import bindings as b
-from checks.generate_queries import _mix_rows, stand_in
+from checks import sql as s
+from checks.generate_queries import GENERATED_FROM_PLAN, PLAN_OF_TESTS, _mix_rows, stand_in
 from checks.registry import big, joined, query, r6
 from markbook.config import DEFAULT
 from markbook.operators import evaluation as ev
@@ -63,7 +64,27 @@ def _year_plan(spark, sf):
     )
 
 
-@query("annual_suite")
+SUITE_SQL = f"""
+tests as (select 'T-' || strftime(o_orderdate, '%Y-%m-%d') as test_id, (count(*) + 4)::int as n,
+    (day(any_value(o_orderdate)) % 3 + 1)::int as variant from orders group by strftime(o_orderdate, '%Y-%m-%d')),
+{PLAN_OF_TESTS}, {GENERATED_FROM_PLAN},
+flags as (select *, {s.indicators('lower(question_text)')} from measured),
+scored as (select *, greatest(1::double, least(5::double,
+    (case when q_grade <= 2 then 1 when q_grade <= 3 then 2 when q_grade <= 4 then 3 when q_grade <= 5 then 4 else 5 end)::double
+    + (multi_step::int + inference_required::int + comparison_required::int + analysis_required::int) * 0.5::double
+    + case question_type when 'multiple_choice' then 0::double when 'short_answer' then 0.5::double else 1::double end)) as estimated from flags),
+judged as (select test_id, (case when q_ok then 1::double else 0.8::double end) * 0.3::double
+    + (case when q_ok then 1::double else 0.5::double end) * 0.2::double + {s.topic_score('lower(question_text)', 'q_ok')} * 0.2::double
+    + (1::double - abs(difficulty_level::double - estimated) / 5::double) * 0.15::double + 0.15::double as quality_score from scored),
+results as (select substr(test_id, 3, 4)::bigint as year, test_id, count(*) as n, avg(quality_score) as quality from judged group by test_id)"""
+
+
+@query(
+    "annual_suite",
+    f"""with {SUITE_SQL} select year, count(*) as tests, sum(n)::bigint as questions, round(avg(quality), 6) as average_quality,
+    round(min(quality), 6) as min_quality, round(max(quality), 6) as max_quality, round(var_pop(quality), 6) as quality_variance
+    from results group by year""",
+)
 def annual_suite(spark, sf):
     """Generated questions of every day's test, evaluated and rolled up per year."""
     plan = g.question_plan(_year_plan(spark, sf))

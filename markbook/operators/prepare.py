@@ -115,27 +115,28 @@ def rubric_output() -> Column:
 
 
 def extract_examples(questions: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Three examples per question, in one pass over the bank."""
-
-    def example(task: str, instruction: Column, output: Column, difficulty: Column) -> Column:
-        return F.struct(
-            F.concat_ws("/", "test_id", "question_id", F.lit(task)).alias("example_id"),
-            instruction.alias("instruction"),
-            F.lit("").alias("input"),
-            output.alias("output"),
-            F.lit(task).alias("task_type"),
-            F.col("subject_area"),
-            difficulty.alias("difficulty_level"),
-            F.col("question_type"),
-        )
+    """Three examples per question, in one pass over the bank.
 
-    none = F.lit(None).cast("int")
-    rows = F.array(
-        example(TASKS[0], question_instruction(cfg), question_output(), F.col("difficulty_level")),
-        example(TASKS[1], answer_instruction(cfg), answer_output(), none),
-        example(TASKS[2], rubric_instruction(cfg), rubric_output(), none),
+    Rows are tripled before the texts are written, so a query that needs only the
+    keys reads and writes no text.
+    """
+    task = F.col("task_type")
+    tripled = questions.withColumn("task_type", F.explode(F.array(*[F.lit(t) for t in TASKS])))
+    by_task = lambda made, answer, rubric: (
+        F.when(task == TASKS[0], made).when(task == TASKS[1], answer).otherwise(rubric)
+    )
+    return tripled.select(
+        F.concat_ws("/", "test_id", "question_id", task).alias("example_id"),
+        by_task(
+            question_instruction(cfg), answer_instruction(cfg), rubric_instruction(cfg)
+        ).alias("instruction"),
+        F.lit("").alias("input"),
+        by_task(question_output(), answer_output(), rubric_output()).alias("output"),
+        task,
+        "subject_area",
+        F.when(task == TASKS[0], F.col("difficulty_level")).alias("difficulty_level"),
+        "question_type",
     )
-    return questions.select(F.inline(rows))
 
 
 def eval_quotas(sizes: DataFrame, stratum: str, fraction: float) -> DataFrame:
