@@ -7,11 +7,8 @@ from pyspark.sql import functions as F
 from checks import bindings as b
 from checks import sql as s
 from checks.generate_queries import GENERATED_FROM_PLAN, PLAN_OF_TESTS, _mix_rows, stand_in
-from checks.registry import big, joined, query, r6
-from markbook.config import DEFAULT
-from markbook.operators import evaluation as ev
+from checks.registry import big, query, r6
 from markbook.operators import generate as g
-from markbook.operators import quality as q
 from markbook.operators import runs as rn
 
 CREATED = "2025-01-15T00:00:00"
@@ -89,10 +86,9 @@ def annual_suite(spark, sf):
     """Generated questions of every day's test, evaluated and rolled up per year."""
     plan = g.question_plan(_year_plan(spark, sf))
     made = g.generate_questions(plan, stand_in, CREATED)
-    results = rn.variant_results(made)
-    quality = rn.run_quality(results)
-    sizes = results.groupBy("year").agg(F.count("*").alias("tests"), F.sum("num_questions").alias("questions"))
-    return sizes.join(quality, "year").select(
+    tests, questions = F.count("*").alias("tests"), F.sum("num_questions").alias("questions")
+    rolled = rn.variant_results(made).groupBy("year").agg(tests, questions, *rn.quality_aggregates())
+    return rolled.select(
         big("year"), "tests", "questions", r6("average_quality"), r6("min_quality"), r6("max_quality"), r6("quality_variance")
     )
 
