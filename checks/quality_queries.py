@@ -8,7 +8,6 @@ from checks import bindings as b
 from checks import sql as s
 from checks.registry import big, joined, query, r6
 from markbook.config import SUBJECTS
-from markbook.functions import text as tx
 from markbook.operators import evaluation as ev
 from markbook.operators import quality as q
 from markbook.plans.joins import first_match

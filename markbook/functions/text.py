@@ -71,7 +71,7 @@ def word_tokens(text: Column) -> Column:
     spaced = F.regexp_replace(F.regexp_replace(text, NEGATION, "$1 $2"), CLITIC, " $1")
     # Only text with an apostrophe can hold a contraction.
     prepared = F.when(F.contains(text, F.lit("'")), spaced).otherwise(text)
-    return F.regexp_extract_all(prepared, F.lit(f"({TOKEN})"), F.lit(1))
+    return F.regexp_extract_all(prepared, F.lit(TOKEN), F.lit(0))
 
 
 def sentence_count(text: Column) -> Column:
