@@ -5,7 +5,7 @@ words, stems).  Similarity is the larger of two numbers: the TF-IDF cosine of
 the pair and the matching-blocks ratio of the two strings.  Both are kernels in
 Python workers on Arrow batches: Spark has no matching-blocks function, and the
 cosine needs term counts within one row, for which Spark's array functions took
-ten times the processor time (a join-and-group form would shuffle every term).
+about four times as long (a join-and-group form would shuffle every term).
 Each row is handled on its own, so nothing is shuffled and no key can be hot.
 """
 
