@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from markbook.llm import exact_dedup, pii, twins
+from markbook.llm import decontaminate, exact_dedup, packing, pii, twins
 from markbook.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,16 @@ def personal_data(spark: SparkSession, folder: str) -> DataFrame:
 def exact(spark: SparkSession, folder: str) -> DataFrame:
     """Exact copies, up to white space, over all documents."""
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
+
+
+@query("op7_packing")
+def packed(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    return packing.pack(table(spark, folder, "documents"))
+
+
+@query("op10_decontamination", twins.DECONTAMINATION)
+def decontaminated(spark: SparkSession, folder: str) -> DataFrame:
+    """Which documents hold windows of benchmark items."""
+    found = decontaminate.find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return decontaminate.digest(found)
