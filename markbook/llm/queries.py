@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from markbook.llm import decontaminate, exact_dedup, packing, pii, twins
+from markbook.llm import decontaminate, exact_dedup, language, packing, pii, quality, twins
 from markbook.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,15 @@ def decontaminated(spark: SparkSession, folder: str) -> DataFrame:
     """Which documents hold windows of benchmark items."""
     found = decontaminate.find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return decontaminate.digest(found)
+
+
+@query("op4_language_id")
+def languages(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learnt from the rows that are not held out."""
+    return language.predict_languages(table(spark, folder, "documents"))
+
+
+@query("op9_quality")
+def scored(spark: SparkSession, folder: str) -> DataFrame:
+    """The quality of every document, learnt from the labels that are not held out."""
+    return quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
