@@ -37,3 +37,16 @@ def stage(df: DataFrame) -> DataFrame:
 
 def text_or_empty(text: Column | str = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+
+
+def salted_join(
+    rows: DataFrame, keyed: DataFrame, keys: list[str], how: str = "inner", salts: int = 16
+) -> DataFrame:
+    """Join rows with a table of one narrow row per key; hot keys are dealt to several tasks.
+
+    Rows carry a salt of their content, the other table is repeated once per salt,
+    whatever the sizes: a key of a third of all rows is split ``salts`` ways.
+    """
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")
+    repeated = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", salt).join(repeated, [*keys, "_salt"], how).drop("_salt")

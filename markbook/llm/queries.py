@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from markbook.llm import decontaminate, exact_dedup, language, packing, pii, quality, twins
+from markbook.llm import (
+    decontaminate,
+    exact_dedup,
+    language,
+    near_dedup,
+    packing,
+    pii,
+    quality,
+    twins,
+)
 from markbook.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +67,9 @@ def languages(spark: SparkSession, folder: str) -> DataFrame:
 def scored(spark: SparkSession, folder: str) -> DataFrame:
     """The quality of every document, learnt from the labels that are not held out."""
     return quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op6_near_dedup")
+def near(spark: SparkSession, folder: str) -> DataFrame:
+    """Near duplicates over all documents."""
+    return near_dedup.near_duplicates(table(spark, folder, "documents"))
