@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from markbook.llm import (
     decontaminate,
     exact_dedup,
+    html_text,
     language,
     near_dedup,
     packing,
@@ -73,3 +74,9 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
 def near(spark: SparkSession, folder: str) -> DataFrame:
     """Near duplicates over all documents."""
     return near_dedup.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op5_main_text")
+def main_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(table(spark, folder, "pages"))
