@@ -15,6 +15,7 @@ from markbook.llm import (
     packing,
     pii,
     quality,
+    suffix_dedup,
     twins,
 )
 from markbook.llm.common import table
@@ -80,3 +81,9 @@ def near(spark: SparkSession, folder: str) -> DataFrame:
 def main_texts(spark: SparkSession, folder: str) -> DataFrame:
     """The main text of every page."""
     return html_text.extract(table(spark, folder, "pages"))
+
+
+@query("op2_suffix_dedup")
+def repeats_removed(spark: SparkSession, folder: str) -> DataFrame:
+    """What repeats of 50 bytes leave of every document."""
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, folder, "documents")))
