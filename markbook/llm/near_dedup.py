@@ -57,7 +57,7 @@ class _WordHashes(dict):
         return value
 
 
-_hashes = _WordHashes()
+word_hash_bytes = _WordHashes()
 
 
 def words(text: str | None) -> list[bytes]:
@@ -69,7 +69,7 @@ def shingles(sequence: list[bytes], size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; a short sequence is one shingle."""
     if not sequence:
         return np.empty(0, dtype=np.uint64)
-    each = np.frombuffer(b"".join(map(_hashes.__getitem__, sequence)), dtype=np.uint64)
+    each = np.frombuffer(b"".join(map(word_hash_bytes.__getitem__, sequence)), dtype=np.uint64)
     count = max(len(each) - size + 1, 1)
     mixed = np.full(count, min(len(each), size), dtype=np.uint64)
     for i in range(min(size, len(each))):

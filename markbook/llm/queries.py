@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from markbook.llm import (
     decontaminate,
@@ -13,6 +14,7 @@ from markbook.llm import (
     language,
     near_dedup,
     packing,
+    passages,
     pii,
     quality,
     suffix_dedup,
@@ -87,3 +89,10 @@ def main_texts(spark: SparkSession, folder: str) -> DataFrame:
 def repeats_removed(spark: SparkSession, folder: str) -> DataFrame:
     """What repeats of 50 bytes leave of every document."""
     return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, folder, "documents")))
+
+
+@query("op1_passages")
+def repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Fuzzy passages that documents repeat from others."""
+    found = passages.find_passages(table(spark, folder, "documents"))
+    return found.withColumn("n_words", F.col("stop") - F.col("start"))
