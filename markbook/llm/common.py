@@ -35,6 +35,21 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+#: Up to so many ids are sent to every executor (some 20 MB); beyond, rows are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def by_ids(rows: DataFrame, ids: DataFrame, how: str, id_col: str = "doc_id") -> DataFrame:
+    """Semi or anti join of wide rows with a list of ids, which is staged and counted first.
+
+    A null id matches nothing.  A short list is broadcast, so texts stay where they
+    are; a long one is joined by shuffle, with the same rows.
+    """
+    listed = stage(ids.select(id_col).where(F.col(id_col).isNotNull()).distinct())
+    few = listed.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(listed) if few else listed, id_col, how)
+
+
 def text_or_empty(text: Column | str = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 

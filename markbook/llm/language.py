@@ -11,10 +11,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from markbook.llm.automaton import SuffixAutomaton
@@ -115,41 +115,35 @@ class Parser:
 _parsers: dict[str, Parser] = {}
 
 
-def identify(docs: DataFrame, samples: dict[str, list[str]]) -> DataFrame:
-    """One row per input row: ``doc_id, lang_pred, score``.
+def prediction(spark: SparkSession, samples: dict[str, list[str]]) -> Callable[[Column | str], Column]:
+    """A function of a text column: ``struct<lang_pred, score>``.
 
     ``und`` with score 0 where the text is null or has no letter, or where there is no
     sample.  Of equal costs the first language by name wins, with score 0.  Whole
-    texts are read; only ``doc_id`` and ``text`` are; repeated rows get equal answers.
-    The samples are bounded (``SAMPLE_WORDS`` a language) and broadcast; nothing is
-    shuffled.
+    texts are read.  The samples are bounded (``SAMPLE_WORDS`` a language) and broadcast.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(samples)
+    sent = spark.sparkContext.broadcast(samples)
     key = hashlib.sha256(repr(sorted(samples.items())).encode()).hexdigest()
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(texts: pd.Series) -> pd.DataFrame:
         if key not in _parsers:  # once per worker
             _parsers.clear()
             _parsers[key] = Parser(sent.value)
         parser = _parsers[key]
-        for batch in batches:
-            found = [parser.predict(text.as_py()) for text in batch.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([x for x, _ in found], pa.string()),
-                    pa.array([x for _, x in found], pa.float64()),
-                ],
-                names=["doc_id", "lang_pred", "score"],
-            )
+        return pd.DataFrame([parser.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return predict
 
 
 def predict_languages(docs: DataFrame) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score``; learns from the rows that are not held out."""
+    """One row per document: ``doc_id, held_out, lang_pred, score``.
+
+    Learns from the rows that are not held out and have a language; a null id is not
+    held out and not learnt from.  Repeated rows get equal answers; extra columns are
+    ignored; an empty table gives no rows.  Nothing but the samples is shuffled.
+    """
     held = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
-    samples = sample_words(docs.where(~held))
-    found = identify(docs, samples)
-    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    predict = prediction(docs.sparkSession, sample_words(docs.where(~held)))
+    found = docs.select("doc_id", predict("text").alias("found"))
+    return found.select("doc_id", held.alias("held_out"), "found.lang_pred", "found.score")

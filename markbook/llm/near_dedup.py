@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markbook.llm.common import salted_join, stage, text_or_empty
+from markbook.llm.common import by_ids, salted_join, stage, text_or_empty
 from markbook.llm.components import connected_components
 
 SHINGLE = 5
@@ -39,8 +39,6 @@ BANDS = 40
 #: deviations below the threshold.
 LEAST_ESTIMATE = 0.55
 BLOCK = 1024
-#: Up to so many ids are sent to every executor (some 20 MB); beyond, texts are joined by shuffle.
-BROADCAST_IDS = 1_000_000
 
 _COUNT = (ROWS * BANDS + 1) // 2
 _FACTORS = np.array([xxhash.xxh32_intdigest(b"factor %d" % i) | 1 for i in range(_COUNT)], dtype=np.uint32)
@@ -259,10 +257,7 @@ def _across(percent: int):
 
 def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``id, set, sign`` of the texts of some ids, staged."""
-    ids = stage(ids.distinct())
-    few = ids.count() <= BROADCAST_IDS
-    wanted = F.broadcast(ids) if few else ids
-    body = docs.select(F.col("doc_id").alias("id"), text_or_empty("text").alias("body")).join(wanted, "id", "left_semi")
+    body = by_ids(docs.select(F.col("doc_id").alias("id"), text_or_empty("text").alias("body")), ids, "left_semi", "id")
     # A repeated id stands for one document: rows of one id with different texts are told apart by class before.
     return stage(body.mapInArrow(_shingle_sets, "id long, set binary, sign binary"))
 

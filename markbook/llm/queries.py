@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from markbook.llm import (
     decontaminate,
     exact_dedup,
@@ -96,3 +97,6 @@ def repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     """Fuzzy passages that documents repeat from others."""
     found = passages.find_passages(table(spark, folder, "documents"))
     return found.withColumn("n_words", F.col("stop") - F.col("start"))
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
