@@ -34,8 +34,10 @@ def first_of(groups: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 def slots_of(number: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """For each slot in ``values`` the places that have it, in their order."""
+    if not len(values):
+        return
     order = np.argsort(values, kind="stable")
-    bounds = np.flatnonzero(np.concatenate([[True], np.diff(values[order]) != 0])) if len(order) else np.array([], int)
+    bounds = np.flatnonzero(np.concatenate([[True], np.diff(values[order]) != 0]))
     for begin, end in zip(bounds, np.append(bounds[1:], len(order)), strict=True):
         yield int(values[order[begin]]), number[order[begin:end]]
 

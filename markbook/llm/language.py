@@ -36,7 +36,7 @@ def sample_words(
     docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, words: int = SAMPLE_WORDS
 ) -> dict[str, list[str]]:
     """Per language its most frequent words in about ``documents`` documents, chosen by hash."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    known = docs.select("doc_id", "lang", "text").where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
     counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
     chosen = known.join(F.broadcast(counts), "lang").where(place < documents / F.col("n"))
@@ -73,10 +73,10 @@ class Parser:
         out = []
         for automaton in self.automata:
             follow = automaton.follow
-            count, state = 1, 0
+            count = state = 0
             for symbol in f" {word} ":
-                to = follow[state].get(symbol)
-                if to is None:
+                to = follow[state].get(symbol) if state else None
+                if to is None:  # a new phrase; a symbol that the sample lacks is one by itself
                     count += 1
                     to = follow[0].get(symbol, 0)
                 state = to
