@@ -10,6 +10,7 @@ time.  Every scan task packs its own rows: nothing is shuffled.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator, Sequence
@@ -18,7 +19,6 @@ from dataclasses import dataclass
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
@@ -43,63 +43,51 @@ class Costs:
     line: int = 1 << 20
 
 
-# How the tokenizer's file splits normalised text into pieces.
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-# Characters that the normaliser leaves alone but for their case.
-_PLAIN = regex.compile(r"[\x21-\x7e\xa1-\xff]+")
+# Fixed values, from the tokenizer's file: how it splits normalised text into pieces, here
+# for texts of ASCII and Latin-1 characters, which its normaliser leaves alone but for case
+# and white space.
+_PLAIN = re.compile(r"[\t-\r\x20-\x7e\xa1-\xff]*")
+_PIECES = re.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]"
+    r"|[^\sa-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+"
+)
+# Byte-level vocabularies write bytes that do not print as the characters from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
-class Encoder:
-    """Token ids of texts; ids of runs between ASCII white space and of pieces are remembered.
+class _Pieces(dict):
+    """Ids of pieces, as little-endian unsigned 32-bit numbers."""
 
-    The tokenizer drops white space and never joins two such runs, so a text's ids
-    are those of its runs one after another; likewise for the pieces of a run.
-    """
+    def __init__(self, model, keep: int) -> None:
+        self.model, self.keep = model, keep
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) > self.keep:
+            self.clear()
+        printed = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTES)
+        ids = self[piece] = np.array([t.id for t in self.model.tokenize(printed)], dtype="<u4").tobytes()
+        return ids
+
+
+class Encoder:
+    """Token ids of texts; the ids of a piece are worked out once and remembered."""
 
-    def __init__(self, file: str, keep: int = 400_000) -> None:
+    def __init__(self, file: str, keep: int = 700_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each task has one core
         self.tokenizer = Tokenizer.from_file(file)
-        self.model = self.tokenizer.model
-        self.keep = keep
-        self.runs: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = _Pieces(self.tokenizer.model, keep)
         vocabulary = self.tokenizer.get_vocab()
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ends_sentence = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for piece, i in vocabulary.items():
             self.ends_sentence[i] = piece.removesuffix("</w>").endswith((".", "!", "?"))
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        if not piece.isascii():
-            return self._whole(piece)
-        # Printable ASCII stands for itself in the vocabulary: the merges alone are enough.
-        return np.array([t.id for t in self.model.tokenize(piece)], dtype="<u4").tobytes()
-
-    def _run(self, run: bytes) -> bytes:
-        text = run.decode("utf-8", "replace")
-        if "<|" in text or not _PLAIN.fullmatch(text):
-            return self._whole(text)
-        out = []
-        for piece in _PIECES.findall(text.lower()):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                if len(self.pieces) > self.keep:
-                    self.pieces.clear()
-                ids = self.pieces[piece] = self._piece(piece)
-            out.append(ids)
-        return b"".join(out)
-
     def encode(self, text: str) -> bytes:
         """A text's ids as little-endian unsigned 32-bit numbers."""
-        split = text.encode("utf-8", "replace").split()
-        known = self.runs
-        if len(known) > self.keep:
-            known.clear()
-        for run in set(split).difference(known):
-            known[run] = self._run(run)
-        return b"".join([known[run] for run in split])
+        if _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
+            return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text.lower())))
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 def choose_cuts(places: list[int], costs: list[int], size: int, powers: Sequence[int]) -> list[int]:
