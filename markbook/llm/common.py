@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from markbook.plans import stage as stage_module
 from markbook.session import attach
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
@@ -17,12 +18,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return attach(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
+def new_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return f"{base.rstrip('/')}/markbook-{uuid.uuid4().hex}"
+    return f"{stage_module.shared_folder(spark)}/markbook-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -30,7 +28,7 @@ def stage(df: DataFrame) -> DataFrame:
 
     Cuts the lineage: a lost executor repeats no more than what came after.
     """
-    folder = shared_folder(df.sparkSession)
+    folder = new_folder(df.sparkSession)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
