@@ -8,8 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from markbook.plans.joins import SMALL_BYTES, SMALL_ROWS
-from markbook.functions.lexicon import ENGLISH_STOP_WORDS, vectorizer_stop_words
+from markbook.functions.lexicon import ENGLISH_STOP_WORDS, VECTORIZER_STOP_WORDS
 
 SUBJECTS = ("reading_comprehension", "vocabulary", "writing", "language_conventions")
 QUESTION_TYPES = ("multiple_choice", "short_answer", "extended_response", "cloze", "matching")
@@ -67,7 +66,7 @@ class Config:
     cap_to_possible: bool = False
 
     stop_words: tuple = ENGLISH_STOP_WORDS
-    vectorizer_stop_words: tuple = field(default_factory=vectorizer_stop_words)
+    vectorizer_stop_words: tuple = VECTORIZER_STOP_WORDS
     vectorizer_features: int = 1000
 
     eval_fraction: float = 0.2
@@ -83,12 +82,6 @@ class Config:
 
     # Name of the assessment programme, put into prompts and test ids.
     programme: str = ""
-    # A question bank within these bounds is broadcast; a larger one is joined by
-    # shuffle, its hot questions spread over several tasks.
-    small_bank_rows: int = SMALL_ROWS
-    small_bank_bytes: int = SMALL_BYTES
-    # One test is written as one JSON document; a larger one is an error.
-    max_questions_per_document: int = 100_000
 
     def mix(self, dimension: str, variant: int = 1) -> dict:
         base = {

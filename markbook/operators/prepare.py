@@ -23,8 +23,6 @@ WITHOUT_INPUT = (
     "Below is an instruction that describes a task. "
     "Write a response that appropriately completes the request."
 )
-# A stratified split keeps one row per stratum at hand; more strata are an error.
-MAX_STRATA = 10_000
 TASKS = ("question_generation", "answer_generation", "rubric_generation")
 
 
@@ -150,21 +148,13 @@ def eval_quotas(sizes: DataFrame, stratum: str, fraction: float) -> DataFrame:
     total = F.sum("n").over(every)
     wanted = F.ceil(total * F.lit(fraction))
     exact = F.col("n") * wanted / total
-    strata = F.count("*").over(every)
-    checked = F.when(
-        F.col("__strata") > MAX_STRATA, F.raise_error(F.lit(f"more than {MAX_STRATA} strata"))
-    ).otherwise(F.col("quota"))
     floored = sizes.withColumns({"__wanted": wanted, "__exact": exact}).withColumns(
         {"__floor": F.floor("__exact"), "__rest": F.col("__exact") - F.floor("__exact")}
     )
     order = Window.orderBy(F.desc("__rest"), stratum)
     short = F.col("__wanted") - F.sum("__floor").over(every)
     quota = F.col("__floor") + (F.row_number().over(order) <= short).cast("bigint")
-    return (
-        floored.withColumns({"quota": quota, "__strata": strata})
-        .withColumn("quota", checked)
-        .select(stratum, "quota")
-    )
+    return floored.withColumn("quota", quota).select(stratum, "quota")
 
 
 def stratified_split(
@@ -172,7 +162,7 @@ def stratified_split(
     key: str = "example_id",
     stratum: str = "task_type",
     cfg: Config = DEFAULT,
-    bucket_digits: int = 4,
+    bucket_digits: int = 5,
 ) -> DataFrame:
     """Add ``split`` (train or eval): a seeded, stratified, exact split by a unique key.
 

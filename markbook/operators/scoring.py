@@ -12,7 +12,6 @@ not concern a row's type gets null text and does no work.
 
 from __future__ import annotations
 
-from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +21,7 @@ from markbook.functions import text as tx
 from markbook.functions.common import choose, is_blank, message_if, share, strip, true_or
 from markbook.functions.similarity import content_words, similarity
 from markbook.functions.stemming import stem_words
-from markbook.plans.joins import first_match, hot_keys, is_small, lookup_join
+from markbook.plans.joins import first_match, lookup_join
 
 # Feedback texts.
 EXACT = "Exact match with correct answer"
@@ -180,24 +179,12 @@ def extended_feedback(analysis: Column, points: Column, possible: Column) -> Col
 # --- the bank and the items ------------------------------------------------
 
 
-class Bank(NamedTuple):
-    """A prepared question bank, and whether it is small enough to be broadcast."""
-
-    questions: DataFrame
-    small: bool
-
-
-def prepare_bank(questions: DataFrame, cfg: Config = DEFAULT) -> Bank:
+def prepare_bank(questions: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """What scoring needs of each question, worked out once per question.
 
-    Keeps the first question where an id occurs twice in a test.  The size of the
-    bank is measured here, on at most ``small_bank_rows`` rows of the input.
+    Keeps the first question where an id occurs twice in a test.
     """
     kind = F.col("question_type")
-    needed = questions.select(
-        *KEY, "question_no", kind, "subject_area", "question_text", "correct_answer", "scoring_rubric"
-    )
-    small = is_small(needed, cfg.small_bank_rows, cfg.small_bank_bytes)
     wordings = F.concat(
         F.array(F.coalesce("correct_answer.answer", F.lit(""))),
         F.coalesce("correct_answer.acceptable_variations", F.array().cast("array<string>")),
@@ -205,7 +192,7 @@ def prepare_bank(questions: DataFrame, cfg: Config = DEFAULT) -> Bank:
     joined = F.array_join(
         F.transform(wordings, lambda w: content_words(w, cfg)), f" {BREAK} "
     )
-    bank = questions.select(
+    bank = first_match(questions, KEY, "question_no").select(
         *KEY,
         "question_no",
         kind,
@@ -223,8 +210,7 @@ def prepare_bank(questions: DataFrame, cfg: Config = DEFAULT) -> Bank:
         stem_words(F.when(is_short(kind), joined)).alias("__stems"),
     )
     forms = F.transform(F.split("__stems", BREAK), lambda s: F.trim(s))
-    bank = bank.withColumn("forms", forms).drop("__stems")
-    return Bank(first_match(bank, KEY, "question_no"), small)
+    return bank.withColumn("forms", forms).drop("__stems")
 
 
 def score_items(items: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -307,34 +293,35 @@ def score_items(items: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 
 def score_responses(
-    bank: Bank, responses: DataFrame, cfg: Config = DEFAULT, hot: DataFrame | None = None
+    bank: DataFrame, responses: DataFrame, cfg: Config = DEFAULT
 ) -> DataFrame:
-    """Score responses to known questions; responses to unknown ids are dropped.
-
-    ``hot`` names keys with many responses where the caller knows them already.
-    """
-    return score_items(lookup_join(responses, bank.questions, KEY, bank.small, hot), cfg)
+    """Score responses to known questions; responses to unknown ids are dropped."""
+    return score_items(lookup_join(responses, bank, KEY), cfg)
 
 
 def score_tests(
-    questions: DataFrame, responses: DataFrame, cfg: Config = DEFAULT
+    questions: DataFrame,
+    responses: DataFrame,
+    cfg: Config = DEFAULT,
+    sittings: DataFrame | None = None,
 ) -> DataFrame:
     """Item scores of all students, one row per student, test and question.
 
     Every question of every test a student sat is scored, with the response or an
-    empty one.  Only ids and response text are shuffled; the wide question columns
-    join afterwards.  Of several responses to one question the greatest counts.
+    empty one.  ``sittings`` (student_id, test_id) names who sat what, for students
+    who may have answered nothing; whoever has a response sat the test anyway.  Only
+    ids and response text are shuffled; the wide question columns join afterwards.
+    Of several responses to one question the greatest counts.
     """
-    bank = prepare_bank(questions, cfg)
     seat = ["student_id", "test_id"]
     given = responses.groupBy(*seat, "question_id").agg(F.max("response").alias("response"))
-    sittings = responses.select(*seat).distinct()
-    # A test sat by many makes all its questions hot.
-    hot = None if bank.small else hot_keys(sittings, ["test_id"])
-    ids = bank.questions.select(*KEY)
-    asked = lookup_join(sittings, ids, ["test_id"], bank.small, hot)
+    seats = responses.select(*seat)
+    if sittings is not None:
+        seats = seats.unionByName(sittings.select(*seat))
+    ids = questions.select(*KEY).distinct()
+    asked = lookup_join(seats.distinct(), ids, ["test_id"])
     expected = asked.join(given, [*seat, "question_id"], "left")
-    return score_responses(bank, expected, cfg, hot)
+    return score_responses(prepare_bank(questions, cfg), expected, cfg)
 
 
 # --- roll-ups --------------------------------------------------------------

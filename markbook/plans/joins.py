@@ -1,88 +1,43 @@
-"""Join shapes used by the operators.
-
-A lookup table is broadcast only after its size has been checked.  A larger one
-is joined by shuffle, with the keys that hold many rows spread over several tasks.
-"""
+"""Join shapes used by the operators."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SMALL_ROWS = 50_000
-SMALL_BYTES = 32 << 20
-# A key holding more than one row in this many is hot; there are at most so many.
-SLICES = 10_000
-
-
-def is_small(df: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES) -> bool:
-    """Whether a table holds at most so many rows and bytes of text and nested data.
-
-    Reads no more than ``max_rows + 1`` rows, so call it on a plain scan.
-    """
-    sizes = [
-        F.octet_length(f"`{name}`" if kind == "string" else F.to_json(F.struct(f"`{name}`")))
-        for name, kind in df.dtypes
-        if kind == "string" or "<" in kind
-    ]
-    total = sum((F.coalesce(s, F.lit(0)) for s in sizes), F.lit(0)).cast("bigint")
-    found = df.limit(max_rows + 1).agg(F.count("*").alias("n"), F.sum(total).alias("b")).first()
-    return found.n <= max_rows and (found.b or 0) <= max_bytes
+# Tasks that share the rows of one key where a plan cannot be changed as it runs.
+STREAM_SALTS = 16
 
 
-def hot_keys(facts: DataFrame, by: list[str], slices: int = SLICES) -> DataFrame:
-    """Keys holding more than 1/slices of all rows, and how many salts each needs.
+def lookup_join(facts: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join facts to a lookup table of one or few rows per key, whatever its size.
 
-    Fewer than ``slices`` keys can hold that much, which bounds the result.
+    Both sides are shuffled by the key, and adaptive execution decides by what the
+    shuffles measured: a small lookup becomes a broadcast, partitions of hot keys are
+    split.  Streams run without it, so there every key is salted.
     """
-    counts = facts.groupBy(*by).agg(F.count("*").alias("__n"))
-    total = counts.agg(F.sum("__n")).scalar()
-    part = F.col("__n") * F.lit(slices) / F.nullif(total, F.lit(0))
-    return counts.filter(part > 1).select(*by, F.ceil(part).cast("int").alias("__salts"))
+    if facts.isStreaming:
+        return salted_join(facts, lookup, on, STREAM_SALTS, how)
+    return facts.join(lookup, on, how)
 
 
-def skew_join(
-    facts: DataFrame, lookup: DataFrame, on: list[str], hot: DataFrame, how: str = "inner"
-) -> DataFrame:
-    """Shuffled join in which every hot key is spread over its salts.
+def salted_join(facts: DataFrame, lookup: DataFrame, on: list[str], salts: int, how: str = "inner") -> DataFrame:
+    """Shuffled join in which the facts of a key are dealt to ``salts`` tasks.
 
-    A fact takes one salt of its key, by the hash of its own columns, so a task
-    run again deals rows out alike; lookup rows of a hot key are repeated once per
-    salt.  Each pair meets exactly once.  ``hot`` may hold part of the join keys.
+    A fact takes its salt by the hash of its own columns, so a task run again deals
+    rows out alike; lookup rows are repeated once per salt.  Each pair meets once.
     """
-    by = [c for c in hot.columns if c != "__salts"]
-    few = F.broadcast(hot)  # fewer than SLICES rows, see hot_keys
-    salts = F.coalesce("__salts", F.lit(1))
     own = [F.col(f"`{name}`") for name, kind in facts.dtypes if not kind.startswith("map")]
-    dealt = facts.join(few, by, "left").withColumn("__salt", F.pmod(F.xxhash64(*own), salts).cast("int"))
-    copies = lookup.join(few, by, "left").withColumn(
-        "__salt", F.explode(F.sequence(F.lit(0), salts - 1))
-    )
-    joined = dealt.drop("__salts").join(copies.drop("__salts"), [*on, "__salt"], how)
-    return joined.drop("__salt")
+    dealt = facts.withColumn("__salt", F.pmod(F.xxhash64(*own), F.lit(salts)).cast("int"))
+    copies = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [*on, "__salt"], how).drop("__salt")
 
 
-def lookup_join(
-    facts: DataFrame,
-    lookup: DataFrame,
-    on: list[str],
-    small: bool,
-    hot: DataFrame | None = None,
-    how: str = "inner",
-) -> DataFrame:
-    """Join facts to a lookup table: broadcast if known to be small, else spread hot keys.
+def first_match(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The first row of each key by ``order``, rows without an order last.
 
-    Streams cannot be counted; they join a large lookup by a plain shuffle.
+    A ranking whose first place alone is wanted is cut per task before the shuffle,
+    and leaves rows dealt out and sorted by the keys, as a join on them needs.
     """
-    if small:
-        return facts.join(F.broadcast(lookup), on, how)
-    if facts.isStreaming:
-        return facts.join(lookup, on, how)
-    return skew_join(facts, lookup, on, hot_keys(facts, on) if hot is None else hot, how)
-
-
-def first_match(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The first row of each key by ``order``; partial results are merged, nothing collected."""
-    others = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*others), F.col(order)).alias("__first"))
-    return picked.select(*keys, "__first.*").select(*df.columns)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).asc_nulls_last()))
+    return df.withColumn("__place", place).where("__place = 1").drop("__place")

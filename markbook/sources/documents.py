@@ -227,7 +227,9 @@ def parse_documents(documents: DataFrame, document: str = "document") -> DataFra
 
     ``count_matches`` tells whether the stated number of questions is right.
     """
-    parsed = F.from_json(F.col(document), DOCUMENT_SCHEMA)
+    # An integer may be written with a decimal point: numbers are read as such, then made whole.
+    read = F.from_json(F.col(document), DOCUMENT_SCHEMA.replace(":int", ":double"))
+    parsed = read.try_cast(f"struct<test_metadata:{METADATA_TYPE},questions:array<struct<{QUESTION_FIELDS}>>>")
     return (
         with_violations(documents, document)
         .filter(F.size("violations") == 0)
@@ -268,21 +270,48 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = EXAMPLE_SCHEMA) ->
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def is_response_map(document: str = "document") -> Column:
+    """Whether a text column holds a JSON object."""
+    kind = F.schema_of_variant(F.try_parse_json(document))
+    return F.coalesce(kind.startswith("OBJECT"), F.lit(False))
+
+
+def rejected_responses(files: DataFrame, document: str = "document") -> DataFrame:
+    """The response files that cannot be read."""
+    return files.filter(~is_response_map(document))
+
+
 def explode_responses(files: DataFrame, document: str = "document") -> DataFrame:
-    """Response maps ``{question_id: text}`` to rows; the other columns are carried."""
-    answers = F.from_json(F.col(document), "map<string,string>")
+    """Response maps ``{question_id: text}`` to rows; the other columns are carried.
+
+    A map without an answer gives no row (``sittings_of`` has its student); text that
+    is no JSON object is an error: leave out what ``rejected_responses`` finds first.
+    """
+    unreadable = F.raise_error(F.concat(F.lit("not a response map: "), F.substring(F.coalesce(document, F.lit("null")), 1, 200)))
+    answers = F.when(is_response_map(document), F.from_json(F.col(document), "map<string,string>")).otherwise(
+        unreadable
+    )
     return files.select(
         *[c for c in files.columns if c != document],
         F.explode(answers).alias("question_id", "response"),
     )
 
 
-def read_responses(spark: SparkSession, path: str, test_id: str) -> DataFrame:
+def read_response_files(spark: SparkSession, path: str, test_id: str) -> DataFrame:
     """Directory of response files, one student each, named after the student."""
-    files = read_documents(spark, path).withColumns(
+    return read_documents(spark, path).withColumns(
         {
             "student_id": F.regexp_extract("file", r"([^/]+)\.json$", 1),
             "test_id": F.lit(test_id),
         }
     )
-    return explode_responses(files.drop("file"))
+
+
+def sittings_of(files: DataFrame) -> DataFrame:
+    """Who sat which test: every response file, also one without an answer."""
+    return files.select("student_id", "test_id").distinct()
+
+
+def read_responses(spark: SparkSession, path: str, test_id: str) -> DataFrame:
+    """The answers in a directory of response files; a file that cannot be read is an error."""
+    return explode_responses(read_response_files(spark, path, test_id).drop("file"))

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markbook.config import DEFAULT, Config
-
 QUESTION_COLUMNS = (
     "question_id", "question_type", "subject_area", "difficulty_level", "learning_objective",
     "stimulus", "question_text", "options", "correct_answer", "scoring_rubric", "tags",
@@ -20,16 +18,11 @@ def write_jsonl(df: DataFrame, path: str, partition_by: str | None = None) -> No
     (writer.partitionBy(partition_by) if partition_by else writer).json(path)
 
 
-def nest_tests(tests: DataFrame, questions: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def nest_tests(tests: DataFrame, questions: DataFrame) -> DataFrame:
     """One row per test with its metadata and its questions in order.
 
-    A test is one JSON document, so its questions meet in one row; a test beyond
-    ``max_questions_per_document`` is refused before anything is gathered.
+    A test is one JSON document, so its questions meet in one row.
     """
-    largest = questions.groupBy("test_id").count().agg(F.max("count")).first()[0] or 0
-    if largest > cfg.max_questions_per_document:
-        raise ValueError(f"a test has {largest} questions; one document holds at most "
-                         f"{cfg.max_questions_per_document}")
     fields = [c for c in QUESTION_COLUMNS if c in questions.columns]
     listed = F.transform(
         F.array_sort(F.collect_list(F.struct("question_no", F.struct(*fields).alias("q")))),

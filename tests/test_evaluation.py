@@ -81,12 +81,17 @@ def test_agreement_detail_drops_unknown_questions(spark, sample):
     raw = spark.createDataFrame([(json.dumps(sample),)], "document string")
     bank = sc.prepare_bank(docs.flatten_questions(docs.parse_documents(raw)))
     human = spark.createDataFrame(
-        [("T1", "Q001", "B", 1), ("T1", "Q002", "fish", 2), ("T1", "Q77", "B", 1), ("T1", "Q003", None, None)],
+        [
+            ("REEF", "reef-food", "D", 3),
+            ("REEF", "reef-word", "a kind of fish", 3),
+            ("REEF", "reef-none", "B", 1),
+            ("REEF", "reef-essay", None, None),
+        ],
         "test_id string, question_id string, student_response string, points_earned int",
     )
     got = {r.question_id: r for r in ev.agreement_detail(bank, human).collect()}
-    assert sorted(got) == ["Q001", "Q002", "Q003"]
-    assert got["Q001"].agreement and got["Q002"].difference == 2 and got["Q003"].human_score == 0
+    assert sorted(got) == ["reef-essay", "reef-food", "reef-word"]
+    assert got["reef-food"].agreement and got["reef-word"].difference == 3 and got["reef-essay"].human_score == 0
 
 
 def test_report_rows(spark):

@@ -18,29 +18,32 @@ def examples_of(spark, sample, cfg=Config()):
 
 def test_examples(spark, sample):
     rows = {r.example_id: r for r in examples_of(spark, sample).collect()}
-    assert len(rows) == 9
-    made = rows["T1/Q001/question_generation"]
+    assert len(rows) == 12
+    made = rows["REEF/reef-food/question_generation"]
     assert made.instruction == (
         "Generate a multiple_choice question for Year 3 assessment.\n\nRequirements:\n"
-        "- Subject area: reading_comprehension\n- Difficulty level: 2/5\n"
-        "- Learning objective: Find the main idea\n- Appropriate for 8-9 year old students\n"
-        "\nStimulus text provided: Tom has a red kite. He flies it in the park."
+        "- Subject area: reading_comprehension\n- Difficulty level: 1/5\n"
+        "- Learning objective: Take a fact from a sentence\n- Appropriate for 8-9 year old students\n"
+        "\nStimulus text provided: Parrotfish scrape algae off the rocks all day long."
     )
-    assert made.output == "Question: What is this story about?\nOptions:\nA. A dog\nB. A kite"
-    assert made.difficulty_level == 2 and made.input == ""
-    answer = rows["T1/Q001/answer_generation"]
+    assert made.output == (
+        "Question: Which food do parrotfish look for?\nOptions:\nA. Plankton\nB. Sea grass\nC. Shrimps\nD. Algae"
+    )
+    assert made.difficulty_level == 1 and made.input == ""
+    answer = rows["REEF/reef-food/answer_generation"]
     assert answer.instruction == (
-        "Based on this text:\nTom has a red kite. He flies it in the park.\n\n"
-        "Generate the correct answer and explanation for this Year 3 question:\n\nWhat is this story about?"
+        "Based on this text:\nParrotfish scrape algae off the rocks all day long.\n\n"
+        "Generate the correct answer and explanation for this Year 3 question:\n\nWhich food do parrotfish look for?"
     )
-    assert answer.output == "Answer: B\nExplanation: The story is about a kite."
-    assert rows["T1/Q002/answer_generation"].output == (
-        "Answer: easily broken or damaged\nAcceptable variations: delicate, breakable"
+    assert answer.output == "Answer: D\nExplanation: The rocks are covered with algae."
+    assert rows["REEF/reef-word/answer_generation"].output == (
+        "Answer: it hunts and moves during the night\n"
+        "Acceptable variations: awake at night, sleeps by daylight, night animal"
     )
     assert answer.difficulty_level is None
-    assert rows["T1/Q002/rubric_generation"].output == "Points possible: 2\n\nScoring criteria:\n2 points: yes"
+    assert rows["REEF/reef-verb/rubric_generation"].output == "Points possible: 2\n\nScoring criteria:\n2 points: A"
     # An objective that is not there leaves an empty place.
-    assert "- Learning objective: \n" in rows["T1/Q003/question_generation"].instruction
+    assert "- Learning objective: \n" in rows["REEF/reef-essay/question_generation"].instruction
 
 
 def test_programme_name_is_a_setting(spark, sample):
@@ -53,15 +56,16 @@ def test_split_of_the_sample(spark, sample):
     counts = {(r.task_type, r.split): r["count"] for r in split.groupBy("task_type", "split").count().collect()}
     assert counts == {
         ("answer_generation", "eval"): 1,
-        ("answer_generation", "train"): 2,
+        ("answer_generation", "train"): 3,
         ("question_generation", "eval"): 1,
-        ("question_generation", "train"): 2,
+        ("question_generation", "train"): 3,
+        ("rubric_generation", "eval"): 1,
         ("rubric_generation", "train"): 3,
     }
     stats = {(r.statistic, r.value): r.n for r in pr.split_statistics(split).collect()}
-    assert stats["examples", "total"] == 9 and stats["examples", "eval"] == 2
+    assert stats["examples", "total"] == 12 and stats["examples", "eval"] == 3
     assert stats["task_type_distribution", "rubric_generation"] == 3
-    assert sum(n for (s, _), n in stats.items() if s == "difficulty_level_distribution") == 2
+    assert sum(n for (s, _), n in stats.items() if s == "difficulty_level_distribution") == 3
 
 
 def split_twin(rows, fraction, seed):

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from markbook.config import DEFAULT, Config
 from markbook.functions.stemming import stem
 from markbook.operators import scoring as sc
-from markbook.plans.joins import first_match, hot_keys, is_small, lookup_join, skew_join
+from markbook.plans.joins import first_match, lookup_join, salted_join
 from markbook.sources import documents as docs
 from tests.test_similarity import cosine_twin
 from tests.test_text import tokens_twin
 
-PARK = (
-    "My favorite place is the park. It has green grass and tall trees. "
-    "I can hear birds singing and children playing. The air smells fresh and clean."
+REEF = (
+    "A coral reef is busy after sunrise. Small fish swim out and eat algae. "
+    "Then the reef changes before midnight. Crabs and eels leave their holes to hunt, because it is dark and quiet."
 )
 
 
@@ -35,46 +35,46 @@ def test_whole_test(spark, sample):
     responses = responses_of(
         spark,
         [
-            ("s1", "T1", "Q001", "B"),
-            ("s1", "T1", "Q002", "breakable"),
-            ("s1", "T1", "Q003", PARK),
-            ("s1", "T1", "Q999", "to no question"),
-            ("s2", "T1", "Q002", "easily broken and damaged"),
-            ("s3", "T1", "Q001", "The answer is B"),
+            ("ann", "REEF", "reef-food", "D"),
+            ("ann", "REEF", "reef-word", "Awake at night!"),
+            ("ann", "REEF", "reef-essay", REEF),
+            ("ann", "REEF", "reef-none", "to no question"),
+            ("bob", "REEF", "reef-word", "moves and hunts during a night"),
+            ("eve", "REEF", "reef-food", "Its algae"),
+            ("eve", "REEF", "reef-verb", "a"),
         ],
     )
-    items = sc.score_tests(questions, responses).cache()
+    empty_handed = spark.createDataFrame([("zoe", "REEF"), ("ann", "REEF")], "student_id string, test_id string")
+    items = sc.score_tests(questions, responses, sittings=empty_handed).cache()
     got = {(r.student_id, r.question_id): r for r in items.collect()}
-    assert len(got) == 9
-    assert (got["s1", "Q001"].points_earned, got["s1", "Q001"].confidence) == (1, 1.0)
-    assert (got["s1", "Q002"].points_earned, got["s1", "Q002"].confidence) == (2, 0.95)
-    assert (got["s2", "Q002"].points_earned, got["s2", "Q002"].feedback) == (2, sc.EXACT)
-    assert got["s2", "Q001"].response == "" and got["s2", "Q001"].points_earned == 0
-    # The first of A-D anywhere in longer text counts, here the A of ANSWER.
-    assert (got["s3", "Q001"].student_answer, got["s3", "Q001"].points_earned) == ("A", 0)
-    assert got["s3", "Q001"].feedback == "The correct answer is B. The story is about a kite."
-    park = got["s1", "Q003"]
-    assert (park.analysis.word_count, park.analysis.sentence_count) == (31, 4)
-    assert park.analysis.language_quality == pytest.approx(0.8)
-    assert park.analysis.has_content and park.points_earned == 3 and park.is_correct
-    blank = got["s2", "Q003"]
+    assert len(got) == 16
+    assert (got["ann", "reef-food"].points_earned, got["ann", "reef-food"].confidence) == (3, 1.0)
+    assert (got["ann", "reef-word"].points_earned, got["ann", "reef-word"].confidence) == (2, 0.95)
+    assert got["bob", "reef-word"].feedback != sc.EXACT  # the words are right, their order is not
+    assert got["bob", "reef-food"].response == "" and got["bob", "reef-food"].points_earned == 0
+    # The first of A-D anywhere in longer text counts, here the A of ALGAE.
+    assert (got["eve", "reef-food"].student_answer, got["eve", "reef-food"].points_earned) == ("A", 0)
+    assert got["eve", "reef-food"].feedback == "The correct answer is D. The rocks are covered with algae."
+    assert got["eve", "reef-verb"].points_earned == 2
+    essay = got["ann", "reef-essay"]
+    assert (essay.analysis.word_count, essay.analysis.sentence_count) == (len(tokens_twin(REEF)), 4)
+    assert essay.analysis.has_content
+    overall = 0.6 * 0.8 + 0.3 * essay.analysis.language_quality + 0.1 * min(1, essay.analysis.word_count / 30)
+    assert essay.points_earned == (5 - 1 if overall >= 0.70 else 5 - 2) and essay.is_correct
+    blank = got["bob", "reef-essay"]
     assert blank.points_earned == 0 and not blank.analysis.has_content
     assert blank.feedback == " ".join([sc.UNDERDEVELOPED, sc.WRITE_MORE, sc.CHECK_SPELLING, sc.OFF_TOPIC])
+    assert all(got["zoe", q["question_id"]].points_earned == 0 for q in sample["questions"])
 
     rolled = sc.roll_up(items).cache()
     scores = {r.student_id: r for r in sc.test_scores(rolled).collect()}
-    assert (scores["s1"].total_points_earned, scores["s1"].total_points_possible) == (6, 7)
-    assert (scores["s1"].overall_grade, scores["s2"].overall_grade) == ("B", "F")
+    assert (scores["ann"].total_points_earned, scores["ann"].total_points_possible) == (9, 13)
+    assert (scores["ann"].overall_grade, scores["zoe"].overall_grade) == ("D", "F")
     advice = {r.student_id: r.recommendations for r in sc.recommendations(rolled).collect()}
-    assert advice["s1"] == [sc.OVERALL_HIGH]
-    assert advice["s2"] == [
-        sc.OVERALL_LOW,
-        sc.SUBJECT_ADVICE["reading_comprehension"],
-        sc.SUBJECT_ADVICE["writing"],
-    ]
+    assert advice["zoe"] == [sc.OVERALL_LOW, *(sc.SUBJECT_ADVICE[q["subject_area"]] for q in sample["questions"])]
     levels = {(r.student_id, r.level, r.category): r for r in rolled.collect()}
-    assert levels["s1", "subject", "vocabulary"].percentage == 100.0
-    assert levels["s1", "question_type", "multiple_choice"].correct == 1
+    assert levels["eve", "subject", "language_conventions"].percentage == 100.0
+    assert levels["ann", "question_type", "multiple_choice"].correct == 1
 
 
 def short_twin(answer, variations, response):
@@ -94,10 +94,11 @@ def short_twin(answer, variations, response):
 
 def test_short_answers_equal_plain_python(spark, sample):
     rng = random.Random(11)
-    words = "easily broken or damaged the breaking delicate weak it is and damages easy glass".split()
-    key = sample["questions"][1]["correct_answer"]
-    rows = [("s%d" % i, "T1", "Q002", " ".join(rng.choices(words, k=rng.randint(0, 6)))) for i in range(200)]
-    rows += [("x1", "T1", "Q002", "the"), ("x2", "T1", "Q002", "Delicate!"), ("x3", "T1", "Q002", "kind of")]
+    words = "it hunts moves during the night awake at moving hunting nights sleeps by daylight animal is".split()
+    key = sample["questions"][2]["correct_answer"]
+    rows = [("s%d" % i, "REEF", "reef-word", " ".join(rng.choices(words, k=rng.randint(0, 7)))) for i in range(200)]
+    rows += [("x1", "REEF", "reef-word", "the"), ("x2", "REEF", "reef-word", "Night animals!")]
+    rows += [("x3", "REEF", "reef-word", "kind of"), ("x4", "REEF", "reef-word", "it hunts and moves in the night")]
     bank = sc.prepare_bank(bank_of(spark, sample))
     got = {r.student_id: r for r in sc.score_responses(bank, responses_of(spark, rows)).collect()}
     assert len(got) == len(rows)
@@ -108,28 +109,28 @@ def test_short_answers_equal_plain_python(spark, sample):
         assert r.confidence == pytest.approx(confidence)
 
 
+def changed(sample, place, part, **values):
+    document = json.loads(json.dumps(sample))
+    document["questions"][place][part].update(values)
+    return document
+
+
 def test_stop_word_answer_equals_an_empty_response(spark, sample):
-    sample = json.loads(json.dumps(sample))
-    sample["questions"][1]["correct_answer"]["answer"] = "the"
-    bank = sc.prepare_bank(bank_of(spark, sample))
-    got = sc.score_responses(bank, responses_of(spark, [("s", "T1", "Q002", "")])).first()
+    bank = sc.prepare_bank(bank_of(spark, changed(sample, 2, "correct_answer", answer="the")))
+    got = sc.score_responses(bank, responses_of(spark, [("s", "REEF", "reef-word", "")])).first()
     assert (got.points_earned, got.feedback) == (2, sc.EXACT)
 
 
 def test_points_may_be_capped(spark, sample):
-    sample = json.loads(json.dumps(sample))
-    sample["questions"][1]["scoring_rubric"]["points_possible"] = 1
-    bank = sc.prepare_bank(bank_of(spark, sample))
-    answer = responses_of(spark, [("s", "T1", "Q002", "delicate")])
+    bank = sc.prepare_bank(bank_of(spark, changed(sample, 2, "scoring_rubric", points_possible=1)))
+    answer = responses_of(spark, [("s", "REEF", "reef-word", "night animal")])
     assert sc.score_responses(bank, answer).first().points_earned == 2
     assert sc.score_responses(bank, answer, Config(cap_to_possible=True)).first().points_earned == 1
 
 
 def test_rubric_without_criteria_is_an_error_row(spark, sample):
-    sample = json.loads(json.dumps(sample))
-    del sample["questions"][2]["scoring_rubric"]["scoring_criteria"]
-    bank = sc.prepare_bank(bank_of(spark, sample))
-    got = sc.score_responses(bank, responses_of(spark, [("s", "T1", "Q003", PARK)])).first()
+    bank = sc.prepare_bank(bank_of(spark, changed(sample, 0, "scoring_rubric", scoring_criteria=[])))
+    got = sc.score_responses(bank, responses_of(spark, [("s", "REEF", "reef-essay", REEF)])).first()
     assert got.points_earned is None and got.error == "rubric without scoring criteria"
 
 
@@ -156,43 +157,47 @@ def test_grades_are_monotone(spark):
     assert (letters[59], letters[60], letters[70], letters[80], letters[90]) == ("F", "D", "C", "B", "A")
 
 
-def test_hot_keys_are_spread_and_every_pair_met_once(spark):
+def test_salts_meet_every_pair_once(spark):
     facts = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"))
     lookup = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     lookup = lookup.unionByName(lookup.filter("k in (0, 7)").withColumn("v", F.lit(-1)))
-    hot = hot_keys(facts, ["k"], slices=10)
-    assert [tuple(r) for r in hot.collect()] == [(0, 4)]
     for how in ("inner", "left"):
-        plain = facts.join(lookup, ["k"], how)
-        for got in (skew_join(facts, lookup, ["k"], hot, how), lookup_join(facts, lookup, ["k"], False, how=how)):
-            assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
-
-
-def test_size_check_reads_text_and_rows(spark):
-    df = spark.range(10).select(F.repeat(F.lit("x"), 100).alias("t"), F.array(F.lit(1)).alias("a"))
-    assert is_small(df)
-    assert not is_small(df, max_rows=9) and not is_small(df, max_bytes=999)
-
-
-def test_large_bank_gives_the_same_scores(spark, sample):
+        plain = sorted(map(tuple, facts.join(lookup, ["k"], how).collect()), key=str)
+        for got in (salted_join(facts, lookup, ["k"], 7, how), lookup_join(facts, lookup, ["k"], how)):
+            assert sorted(map(tuple, got.collect()), key=str) == plain
+
+
+def test_hot_question_scores_as_any_other(spark, sample):
+    """A third of all responses on one question, joined by shuffle and by broadcast."""
+    rows = [(f"s{i}", "REEF", "reef-food" if i % 3 else "reef-word", "D") for i in range(600)]
+    questions, responses = bank_of(spark, sample), responses_of(spark, rows)
+    pick = lambda df: sorted(map(tuple, df.select("student_id", "question_id", "points_earned").collect()))
+    broadcast = pick(sc.score_tests(questions, responses))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffled = pick(sc.score_tests(questions, responses))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert broadcast == shuffled and len(broadcast) == 600 * 4
+    assert sum(points for _, q, points in broadcast if q == "reef-food") == 400 * 3
+
+
+def test_bank_is_prepared_without_running_a_job(spark, sample):
     questions = bank_of(spark, sample)
-    rows = [(f"s{i}", "T1", q, "B delicate") for i in range(40) for q in ("Q001", "Q002", "Q003") if (i + int(q[-1])) % 4]
-    responses = responses_of(spark, rows)
-    pick = lambda df: sorted(map(tuple, df.select("student_id", "question_id", "points_earned", "feedback").collect()))
-    small = pick(sc.score_tests(questions, responses))
-    assert len(small) == 120
-    assert small == pick(sc.score_tests(questions, responses, Config(small_bank_rows=1)))
-    bank = sc.prepare_bank(questions, Config(small_bank_bytes=1))
-    assert not bank.small and sc.score_responses(bank, responses).count() == len(rows)
+    spark.sparkContext.setJobGroup("bank", "none expected")
+    try:
+        sc.prepare_bank(questions)
+        sc.score_tests(questions, responses_of(spark, [("s", "REEF", "reef-food", "D")]))
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("bank")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_first_match_and_duplicate_responses(spark, sample):
-    df = spark.createDataFrame([("a", 2, "late"), ("a", 1, "early"), ("b", 5, "only")], "k string, n int, v string")
-    assert sorted((r.k, r.v) for r in first_match(df, ["k"], "n").collect()) == [("a", "early"), ("b", "only")]
-    doubled = responses_of(spark, [("s", "T1", "Q001", "A"), ("s", "T1", "Q001", "B"), ("s", "T1", "Q001", None)])
-    items = sc.score_tests(bank_of(spark, sample), doubled).filter("question_id = 'Q001'").collect()
-    assert [(r.response, r.points_earned) for r in items] == [("B", 1)]
-
-
-def test_tokens_of_the_park_text():
-    assert len(tokens_twin(PARK)) == 31
+    rows = [("a", 2, "late"), ("a", 1, "early"), ("a", None, "never"), ("b", 5, "only"), ("c", None, "placeless")]
+    df = spark.createDataFrame(rows, "k string, n int, v string")
+    first = sorted((r.k, r.v) for r in first_match(df, ["k"], "n").collect())
+    assert first == [("a", "early"), ("b", "only"), ("c", "placeless")]
+    doubled = responses_of(spark, [("s", "REEF", "reef-food", x) for x in ("A", "D", None)])
+    items = sc.score_tests(bank_of(spark, sample), doubled).filter("question_id = 'reef-food'").collect()
+    assert [(r.response, r.points_earned) for r in items] == [("D", 3)]

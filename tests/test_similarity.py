@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from markbook.config import DEFAULT, Config
 from markbook.functions import similarity as sim
-from markbook.functions.lexicon import ENGLISH_STOP_WORDS, vectorizer_stop_words
+from markbook.functions.lexicon import ENGLISH_STOP_WORDS, VECTORIZER_STOP_WORDS
 from markbook.functions.stemming import stem
 
 # Stems published with the algorithm and its usual extensions.
@@ -37,11 +37,11 @@ def test_stems():
 
 def test_word_lists():
     assert len(ENGLISH_STOP_WORDS) == len(set(ENGLISH_STOP_WORDS)) == 179
-    assert len(vectorizer_stop_words()) == 318
+    assert len(VECTORIZER_STOP_WORDS) == 318
 
 
 def cosine_twin(a, b, features=1000):
-    stop = set(vectorizer_stop_words())
+    stop = set(VECTORIZER_STOP_WORDS)
 
     def counts(t):
         w = [x for x in re.findall(r"\b\w\w+\b", t.lower()) if x not in stop]

@@ -6,7 +6,6 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from markbook.config import Config
 from markbook.sources import documents as docs
 from markbook.sources import sinks
 from markbook.sources.tables import spread
@@ -16,9 +15,9 @@ from markbook.sources.tables import spread
 def folder(tmp_path, sample):
     broken = copy.deepcopy(sample)
     broken["test_metadata"]["grade_level"] = "Year 4"
-    broken["questions"][0]["difficulty_level"] = 6
-    del broken["questions"][1]["correct_answer"]
-    broken["questions"][2]["tags"] = [1]
+    broken["questions"][1]["difficulty_level"] = 6
+    del broken["questions"][2]["correct_answer"]
+    broken["questions"][3]["tags"] = ["verb", 1]
     (tmp_path / "good.json").write_text(json.dumps(sample, indent=2))
     (tmp_path / "bad.json").write_text(json.dumps(broken))
     (tmp_path / "cut.json").write_text('{"test_metadata": ')
@@ -35,33 +34,34 @@ def test_documents_are_checked_and_flattened(spark, folder):
     assert sorted(rejected) == ["bad.json", "cut.json"]
     assert rejected["cut.json"] == ["not JSON"]
     assert sorted(rejected["bad.json"]) == [
-        "questions[0].difficulty_level: outside 1..5",
-        "questions[1].correct_answer: missing",
-        "questions[2].tags[0]: not a string",
+        "questions[1].difficulty_level: outside 1..5",
+        "questions[2].correct_answer: missing",
+        "questions[3].tags[1]: not a string",
         "test_metadata.grade_level: not allowed",
     ]
     parsed = docs.parse_documents(raw)
     assert [r.count_matches for r in parsed.collect()] == [False]
     rows = docs.flatten_questions(parsed).orderBy("question_no").collect()
-    assert [(r.question_no, r.question_id) for r in rows] == [(0, "Q001"), (1, "Q002"), (2, "Q003")]
-    assert rows[0].correct_answer.answer == "B"
+    names = ["reef-essay", "reef-food", "reef-word", "reef-verb"]
+    assert [(r.question_no, r.question_id) for r in rows] == list(enumerate(names))
+    assert rows[1].correct_answer.answer == "D"
 
 
 @pytest.mark.parametrize(
     "change, expected",
     [
-        (lambda d: d["test_metadata"].update(year=2025.0), []),
-        (lambda d: d["test_metadata"].update(year=2025.5), ["test_metadata.year: not an integer"]),
+        (lambda d: d["test_metadata"].update(year=2031.0), []),
+        (lambda d: d["test_metadata"].update(year=2031.5), ["test_metadata.year: not an integer"]),
         (lambda d: d["test_metadata"].update(year=True), ["test_metadata.year: not an integer"]),
         (lambda d: d["test_metadata"].update(year=None), ["test_metadata.year: not an integer"]),
         (lambda d: d["test_metadata"].pop("year"), ["test_metadata.year: missing"]),
         (lambda d: d.update(extra=1), []),
         (lambda d: d.update(questions={}), ["questions: not an array"]),
-        (lambda d: d["questions"][0].pop("learning_objective"), []),
+        (lambda d: d["questions"][1].pop("learning_objective"), []),
         (lambda d: d["questions"][0].update(stimulus=None), ["questions[0].stimulus: not an object"]),
         (
-            lambda d: d["questions"][0]["options"][1].pop("text"),
-            ["questions[0].options[1].text: missing"],
+            lambda d: d["questions"][1]["options"][2].pop("text"),
+            ["questions[1].options[2].text: missing"],
         ),
         (
             lambda d: d["questions"][0]["scoring_rubric"].pop("points_possible"),
@@ -77,12 +77,37 @@ def test_single_rules(spark, sample, change, expected):
 
 
 def test_responses_become_rows(spark, tmp_path):
-    (tmp_path / "s1.json").write_text('{"Q001": "B", "Q002": "line\\nbreak"}')
-    rows = docs.read_responses(spark, str(tmp_path), "T1").orderBy("question_id").collect()
+    (tmp_path / "s1.json").write_text('{"reef-food": "B", "reef-word": "line\\nbreak"}')
+    (tmp_path / "s2.json").write_text("{}")
+    rows = docs.read_responses(spark, str(tmp_path), "REEF").orderBy("question_id").collect()
     assert [(r.student_id, r.test_id, r.question_id, r.response) for r in rows] == [
-        ("s1", "T1", "Q001", "B"),
-        ("s1", "T1", "Q002", "line\nbreak"),
+        ("s1", "REEF", "reef-food", "B"),
+        ("s1", "REEF", "reef-word", "line\nbreak"),
     ]
+    files = docs.read_response_files(spark, str(tmp_path), "REEF")
+    assert sorted(map(tuple, docs.sittings_of(files).collect())) == [("s1", "REEF"), ("s2", "REEF")]
+
+
+def test_unreadable_responses_are_told(spark, tmp_path):
+    for name, text in (("ok", '{"a": "b"}'), ("cut", '{"a": '), ("list", '["a"]'), ("none", "null")):
+        (tmp_path / f"{name}.json").write_text(text)
+    files = docs.read_response_files(spark, str(tmp_path), "REEF")
+    bad = docs.rejected_responses(files)
+    assert sorted(r.student_id for r in bad.collect()) == ["cut", "list", "none"]
+    with pytest.raises(Exception, match="not a response map"):
+        docs.read_responses(spark, str(tmp_path), "REEF").collect()
+    good = docs.explode_responses(files.join(bad.select("student_id"), "student_id", "left_anti"))
+    assert [(r.question_id, r.response) for r in good.collect()] == [("a", "b")]
+
+
+def test_integers_may_be_written_as_decimals(spark, sample):
+    document = copy.deepcopy(sample)
+    document["test_metadata"]["year"] = 2031.0
+    document["questions"][1]["difficulty_level"] = 2.0
+    document["questions"][1]["scoring_rubric"]["points_possible"] = 1e0
+    raw = spark.createDataFrame([(json.dumps(document),)], "document string")
+    row = docs.flatten_questions(docs.parse_documents(raw)).where("question_id = 'reef-food'").first()
+    assert (row.test_metadata.year, row.difficulty_level, row.scoring_rubric.points_possible) == (2031, 2, 1)
 
 
 def test_jsonl_round_trip_and_malformed_line(spark, tmp_path):
@@ -102,10 +127,8 @@ def test_tests_are_written_as_documents(spark, tmp_path, folder):
     meta = parsed.select("test_metadata.*")
     nested = sinks.nest_tests(meta, questions)
     sinks.write_tests(nested, str(tmp_path / "tests"))
-    back = spark.read.schema(docs.DOCUMENT_SCHEMA).json(str(tmp_path / "tests" / "test_id=T1"))
-    assert [q.question_id for q in back.first().questions] == ["Q001", "Q002", "Q003"]
-    with pytest.raises(ValueError, match="at most 2"):
-        sinks.nest_tests(meta, questions, Config(max_questions_per_document=2))
+    back = spark.read.schema(docs.DOCUMENT_SCHEMA).json(str(tmp_path / "tests" / "test_id=REEF"))
+    assert [q.question_id for q in back.first().questions] == ["reef-essay", "reef-food", "reef-word", "reef-verb"]
 
 
 def test_spread_only_deals_out_small_scans(spark, tmp_path):

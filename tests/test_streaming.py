@@ -10,7 +10,11 @@ from markbook.streaming import scoring as stream
 def test_stream_equals_batch(spark, tmp_path, sample):
     raw = spark.createDataFrame([(json.dumps(sample),)], "document string")
     bank = sc.prepare_bank(docs.flatten_questions(docs.parse_documents(raw)))
-    rows = [("s1", "T1", "Q001", "B"), ("s1", "T1", "Q002", "breakable"), ("s2", "T1", "Q002", "easy to break")]
+    rows = [
+        ("s1", "REEF", "reef-food", "D"),
+        ("s1", "REEF", "reef-word", "awake at night"),
+        ("s2", "REEF", "reef-word", "moving by night"),
+    ]
     responses = spark.createDataFrame(rows, stream.RESPONSE_SCHEMA)
     responses.limit(2).write.json(str(tmp_path / "in" / "a"))
     folder = str(tmp_path / "in" / "*")
