@@ -62,7 +62,7 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
     )
     return d.select(
         F.col("source").alias("test_id"),
-        i.cast("int").alias("question_no"),
+        i.alias("question_no"),
         F.concat(F.lit("q"), i.cast("string")).alias("question_id"),
         nth(QUESTION_TYPES, 5).alias("question_type"),
         subject_of_lang().alias("subject_area"),

@@ -256,13 +256,15 @@ pairs as (select e.test_id, e.question_no, e.question_type, l.quality::int as hu
 
 def _label_pairs(spark, sf):
     """Human quality labels against the quality score at a threshold."""
-    e = q.evaluate_questions(b.questions(spark, sf), ("test_id", "question_no"))
-    machine = (F.round("quality_score", 9) >= 0.6).cast("int")
     labels = b.table(spark, sf, "labels").select(
-        F.col("doc_id").cast("int").alias("question_no"), F.col("quality").cast("int").alias("human_score")
+        F.col("doc_id").alias("question_no"), F.col("quality").cast("int").alias("human_score")
     )
+    # Labels first: only questions that people have judged are evaluated.
+    labelled = b.questions(spark, sf).join(labels, "question_no")
+    e = q.evaluate_questions(labelled, ("test_id", "question_no", "human_score"))
+    machine = (F.round("quality_score", 9) >= 0.6).cast("int")
     return ev.compare_scores(
-        e.select("test_id", "question_no", "question_type", machine.alias("automated_score")).join(labels, "question_no")
+        e.select("test_id", "question_no", "question_type", "human_score", machine.alias("automated_score"))
     )
 
 

@@ -48,7 +48,7 @@ def _short_bank(spark, sf):
     d = b.table(spark, sf, "documents")
     return d.select(
         F.col("lang").alias("test_id"),
-        F.col("doc_id").cast("int").alias("question_no"),
+        F.col("doc_id").alias("question_no"),
         F.col("doc_id").cast("string").alias("question_id"),
         F.when(F.col("doc_id") % 2 == 0, "short_answer").otherwise("cloze").alias("question_type"),
         F.lit("vocabulary").alias("subject_area"),
@@ -65,42 +65,53 @@ def _short_bank(spark, sf):
     )
 
 
+# The five ways a document answers, by its id.  The last three are judged by likeness: what
+# begins like the key has twice its own length in common with it, out of both lengths; the
+# key's words are cut, so no word vector is closer.
+SHORT_ANSWERS_SQL = f"""answered as (
+  select *, 'The source: ' || source as key, case doc_id % 5
+      when 0 then 'Sources ... THE ' || upper(source) when 1 then 'an ' || lang || '  Texts.'
+      when 2 then left('The source: ' || source, length('The source: ' || source) - 1)
+      when 3 then left('THE SOURCE: ' || source, 8) else repeat('z', (1 + doc_id % 7)::int) end as response
+  from documents),
+alike as (
+  select *, case when starts_with(lower(key), lower(response))
+      then 2 * length(response)::double / (length(response) + length(key)) else 0::double end as ratio
+  from answered),
+judged as (
+  select doc_id, case doc_id % 5 when 0 then 'exact' when 1 then 'variation'
+      else case when ratio >= 0.8 then 'good' when ratio >= 0.6 then 'partial' else 'wrong' end end as tier, ratio
+  from alike)"""
+
+
 @query(
     "short_answer_scores",
-    f"""select doc_id::varchar as question_id, case when doc_id % 3 = 2 then null else 2::bigint end as points,
-      doc_id % 3 <> 2 as matched, case doc_id % 3 when 0 then 1::double when 1 then 0.95::double end as confidence,
-      case doc_id % 3 when 0 then '{sc.EXACT}' when 1 then '{sc.VARIATION}' end as feedback from documents""",
+    f"""with {SHORT_ANSWERS_SQL} select doc_id::varchar as question_id,
+      case tier when 'wrong' then 0::bigint when 'partial' then 1::bigint else 2::bigint end as points,
+      tier in ('exact', 'variation', 'good') as is_correct,
+      round(case tier when 'exact' then 1::double when 'variation' then 0.95::double else ratio end, 6) as confidence,
+      case tier when 'exact' then '{sc.EXACT}' when 'variation' then '{sc.VARIATION}' when 'good' then '{sc.GOOD_ANSWER}'
+        when 'partial' then '{sc.PARTIAL_ANSWER}' else '{sc.WRONG_ANSWER}' end as feedback from judged""",
 )
 def short_answer_scores(spark, sf):
-    """Every document answered: exactly, by a variation, or with its own text."""
+    """Every document answered: exactly, by a variation, nearly, in part, or wrongly."""
     d = b.table(spark, sf, "documents")
-    i = F.col("doc_id")
+    i, key = F.col("doc_id"), F.concat(F.lit("The source: "), "source")
+    response = (
+        F.when(i % 5 == 0, F.concat(F.lit("Sources ... THE "), F.upper("source")))
+        .when(i % 5 == 1, F.concat(F.lit("an "), "lang", F.lit("  Texts.")))
+        .when(i % 5 == 2, F.left(key, F.length(key) - 1))
+        .when(i % 5 == 3, F.left(F.concat(F.lit("THE SOURCE: "), "source"), F.lit(8)))
+        .otherwise(F.repeat(F.lit("z"), (1 + i % 7).cast("int")))
+    )
     responses = d.select(
         F.lit("s").alias("student_id"),
         F.col("lang").alias("test_id"),
         i.cast("string").alias("question_id"),
-        F.when(i % 3 == 0, F.concat(F.upper("source"), F.lit(" ... is THE sources!")))
-        .when(i % 3 == 1, F.concat(F.lit("an "), "lang", F.lit("  Texts.")))
-        .otherwise(F.col("lang"))
-        .alias("response"),
-    )
-    # A sources form and the key "The source: srcN" differ in order, so put it first.
-    responses = responses.withColumn(
-        "response",
-        F.when(
-            F.col("question_id").cast("bigint") % 3 == 0,
-            F.concat(F.lit("Sources ... THE "), F.element_at(F.split("response", " "), 1)),
-        ).otherwise(F.col("response")),
+        response.alias("response"),
     )
     scored = sc.score_responses(sc.prepare_bank(_short_bank(spark, sf)), responses)
-    matched = F.col("question_id").cast("bigint") % 3 != 2
-    return scored.select(
-        "question_id",
-        big(F.when(matched, F.col("points_earned")), "points"),
-        F.col("feedback").isin(sc.EXACT, sc.VARIATION).alias("matched"),
-        F.when(matched, F.col("confidence")).alias("confidence"),
-        F.when(matched, F.col("feedback")).alias("feedback"),
-    )
+    return scored.select("question_id", big("points_earned", "points"), "is_correct", r6("confidence"), "feedback")
 
 
 @query("short_answer_similarity_scores")
@@ -180,6 +191,25 @@ def test_item_scores(spark, sf):
     )
 
 
+# The same tests with one more student each, who answered nothing.
+ABSENT_ITEMS_SQL = TEST_ITEMS_SQL.replace(
+    "sat as (select distinct student_id, test_id from responses)",
+    "sat as (select distinct student_id, test_id from responses union select 'absent', test_id from bank)",
+)
+
+
+@query(
+    "sittings_without_answers",
+    f"""with {ABSENT_ITEMS_SQL} select student_id, test_id, question_id, response, points_earned::bigint as points_earned,
+    is_correct from judged""",
+)
+def sittings_without_answers(spark, sf):
+    bank = b.dialogue_bank(spark, sf)
+    absent = bank.select(F.lit("absent").alias("student_id"), "test_id").distinct()
+    items = sc.score_tests(bank, b.dialogue_responses(spark, sf), sittings=absent)
+    return items.select("student_id", "test_id", "question_id", "response", big("points_earned"), "is_correct")
+
+
 def _rollup_sql(items: str) -> str:
     cell = "count(*) as total, count(*) filter (is_correct) as correct, sum(points_earned)::bigint as earned, sum(points_possible)::bigint as possible, min(question_no) as first_no"
     return f"""

@@ -48,15 +48,23 @@ def quality_summary(evaluations: DataFrame, keys: tuple = ("test_id",)) -> DataF
 
 
 def distribution(questions: DataFrame, keys: tuple = ("test_id",)) -> DataFrame:
-    """Count and share of every subject, difficulty and type per group, in one pass."""
-    named = questions.select(
-        *keys,
-        F.coalesce("subject_area", F.lit("unknown")).alias("subject"),
-        F.coalesce(F.col("difficulty_level").cast("string"), F.lit("0")).alias("difficulty"),
-        F.coalesce("question_type", F.lit("unknown")).alias("question_type"),
+    """Count and share of every subject, difficulty and type per group, in one pass.
+
+    Rows are counted by all three together first; only those counts are counted again
+    by each.
+    """
+    named = (
+        questions.select(
+            *keys,
+            F.coalesce("subject_area", F.lit("unknown")).alias("subject"),
+            F.coalesce(F.col("difficulty_level").cast("string"), F.lit("0")).alias("difficulty"),
+            F.coalesce("question_type", F.lit("unknown")).alias("question_type"),
+        )
+        .groupBy(*keys, *DIMENSIONS)
+        .agg(F.count("*").alias("__n"))
     )
     counted = named.groupingSets([[*keys, d] for d in DIMENSIONS], *keys, *DIMENSIONS).agg(
-        F.grouping_id(*keys, *DIMENSIONS).alias("__level"), F.count("*").alias("n")
+        F.grouping_id(*keys, *DIMENSIONS).alias("__level"), F.sum("__n").alias("n")
     )
     # A set bit marks a column that is not part of the grouping set: 011, 101, 110.
     level = F.col("__level")
