@@ -4,6 +4,7 @@
 def load() -> None:
     from checks import (  # noqa: F401
         generate_queries,
+        io_queries,
         prepare_queries,
         quality_queries,
         run_queries,
