@@ -77,7 +77,7 @@ class Config:
         default_factory=lambda: {"temperature": 0.7, "top_p": 0.9, "max_new_tokens": 500}
     )
 
-    # Tasks that call the text generator; None means one per core.
+    # Tasks that call the text generator; None means ``spark.sql.shuffle.partitions``.
     generation_partitions: int | None = None
 
     # Name of the assessment programme, put into prompts and test ids.
