@@ -37,14 +37,16 @@ BOILERPLATE = frozenset("nav footer aside form menu button dialog header fieldse
 MAIN = frozenset("article main".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARAGRAPHS = HEADINGS | frozenset("p blockquote pre".split())
 # Words in class and id attributes that name what is not the article.
 _NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|cookies?\w*|consent|disqus"
-    r"|footer|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|outbrain|overlay"
+    r"|footer|gdpr|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|outbrain|overlay"
     r"|pagination|popup|promo\w*|recommended|related|replies|share|sharing|sidebar|signup|social|sponsor\w*"
     r"|subscribe|taboola|toolbar|widget)(?:$|[\s_-])",
     re.I,
 )
+_HEADER_NAMES = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 # Frequent function words of the languages at hand.
 STOP_WORDS = frozenset(
     """a about an and are as at be but by for from has have he her his i in is it not of on or she that the their they
@@ -115,7 +117,7 @@ class _Reader:
                 self.parts.append(" ")
             elif tag == "a":
                 self.in_link = 1
-            if tag in VOID or not (attributes and _named(attributes)):
+            if tag in VOID or not (attributes and _named(attributes, True)):
                 return
         else:
             self.flush()
@@ -131,7 +133,8 @@ class _Reader:
         main = top.main or tag in MAIN
         # An article's own header holds its title; its footer and the rest do not belong to it.
         own = tag in BOILERPLATE and not (tag == "header" and top.main)
-        hinted = top.boilerplate or own or bool(attributes and tag not in ("body", "html") and _named(attributes))
+        named = bool(attributes and tag not in ("body", "html") and _named(attributes, main))
+        hinted = top.boilerplate or own or named
         if tag in INLINE:
             self.flush()
         self.stack.append(_Open(tag, hinted, main))
@@ -150,10 +153,11 @@ class _Reader:
         self.block_tag = self.stack[-1].tag if self.stack else ""
 
 
-def _named(attributes: str) -> bool:
+def _named(attributes: str, in_main: bool) -> bool:
+    """Whether attributes name something that is not the article."""
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name in ("class", "id") and _NAMES.search(value):
+        if name in ("class", "id") and (_NAMES.search(value) or (not in_main and _HEADER_NAMES.search(value))):
             return True
         if name == "role" and value in BOILERPLATE_ROLES:
             return True
@@ -237,8 +241,10 @@ def classify(blocks: list[Block]) -> None:
             b.label = "good"
         elif left and right and gap_left != gap_right:
             b.label = left if gap_left < gap_right else right
+        elif left and right:  # as near to either: a paragraph belongs to the text
+            b.label = "good" if b.tag in PARAGRAPHS else "bad"
         else:
-            b.label = "bad" if left and right else left or right
+            b.label = left or right
 
 
 def _nearest(labels: list[str]) -> list[tuple[str, int]]:

@@ -20,7 +20,7 @@ def page(body):
         ("<nav><ul><li><a href=x>Menu</a></ul></nav><main><p>One\n two</p></main>", "One two"),
         ("<article><p>Text</p><div class='comments'><p>First!</p></div><aside>Side</aside></article>", "Text"),
         ("<article><p>Text<div id=\"cookie-notice\">Accept</div><form>Name</form></p></article>", "Text"),
-        ("<article><header><h1>Own title</h1></header><p>a<br>b<br><br>c</p></article>", "Own title\na b\nc"),
+        ("<div class='site-header'>Site</div><article class=post><div class='entry-header'><h1>Own title</h1></div><p>a<br>b<br><br>c</p></article>", "Own title\na b\nc"),
         ("<article><p>x<!-- no --><b>y</b>z<style>p{}</style></article>", "xyz"),
         ("<article><p>&lt;p&gt; stays</p><span class='ad'>buy</span></article>", "<p> stays"),
         (f"<h2>Head</h2><p>{GOOD}{GOOD}</p><p>Short.</p><p>{GOOD}{GOOD}</p>", f"Head\n{GOOD}{GOOD}\nShort.\n{GOOD}{GOOD}"),
@@ -34,8 +34,8 @@ def test_blocks(body, text):
 
 def test_short_blocks_inherit_from_the_nearest():
     links = "<p><a href=x>one link</a></p>"
-    body = f"<p>{GOOD}{GOOD}</p><p>near good</p>{links}<p>near bad</p>{links}{links}"
-    assert html_text.main_text(page(body)) == f"{GOOD}{GOOD}"
+    body = f"<p>{GOOD}{GOOD}</p><p>near good</p>{links}<p>near bad</p>{links}<div>between</div><p>{GOOD}{GOOD}</p>"
+    assert html_text.main_text(page(body)) == f"{GOOD}{GOOD}\nnear good\n{GOOD}{GOOD}"
     body = f"{links}<p>{GOOD}{GOOD}</p><p>Yes.</p><p>No.</p><p>Maybe.</p>{links}"
     assert html_text.main_text(page(body)).startswith(f"{GOOD}{GOOD}\nYes.")
 
