@@ -10,7 +10,7 @@ import pyarrow as pa
 #: Rows that carry blocks: the slot they go to, what they hold, the block.
 BLOCK = "slot int, kind int, block binary"
 
-_OPTIONS = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=2))
+_OPTIONS = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
 
 
 def packed(batch: pa.RecordBatch) -> bytes:
