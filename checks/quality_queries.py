@@ -214,9 +214,9 @@ ADVICE = f"""list_filter([
 
 
 def _advised(spark, sf):
-    questions = b.questions(spark, sf)
-    summary = ev.quality_summary(q.evaluate_questions(questions, ("test_id",)))
-    return ev.quality_advice(summary, ev.balance(ev.distribution(questions)))
+    cells = ev.quality_cells(q.evaluate_questions(b.questions(spark, sf), ("test_id",)))
+    shares = ev.distribution(cells, count=F.col("n"))
+    return ev.quality_advice(ev.cell_summary(cells), ev.balance(shares))
 
 
 @query(

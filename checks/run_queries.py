@@ -61,10 +61,7 @@ def _year_plan(spark, sf):
     )
 
 
-SUITE_SQL = f"""
-tests as (select 'T-' || strftime(o_orderdate, '%Y-%m-%d') as test_id, (count(*) + 4)::int as n,
-    (day(any_value(o_orderdate)) % 3 + 1)::int as variant from orders group by strftime(o_orderdate, '%Y-%m-%d')),
-{PLAN_OF_TESTS}, {GENERATED_FROM_PLAN},
+JUDGED_SQL = f"""{PLAN_OF_TESTS}, {GENERATED_FROM_PLAN},
 flags as (select *, {s.indicators('lower(question_text)')} from measured),
 scored as (select *, greatest(1::double, least(5::double,
     (case when q_grade <= 2 then 1 when q_grade <= 3 then 2 when q_grade <= 4 then 3 when q_grade <= 5 then 4 else 5 end)::double
@@ -72,7 +69,12 @@ scored as (select *, greatest(1::double, least(5::double,
     + case question_type when 'multiple_choice' then 0::double when 'short_answer' then 0.5::double else 1::double end)) as estimated from flags),
 judged as (select test_id, (case when q_ok then 1::double else 0.8::double end) * 0.3::double
     + (case when q_ok then 1::double else 0.5::double end) * 0.2::double + {s.topic_score('lower(question_text)', 'q_ok')} * 0.2::double
-    + (1::double - abs(difficulty_level::double - estimated) / 5::double) * 0.15::double + 0.15::double as quality_score from scored),
+    + (1::double - abs(difficulty_level::double - estimated) / 5::double) * 0.15::double + 0.15::double as quality_score from scored)"""
+
+SUITE_SQL = f"""
+tests as (select 'T-' || strftime(o_orderdate, '%Y-%m-%d') as test_id, (count(*) + 4)::int as n,
+    (day(any_value(o_orderdate)) % 3 + 1)::int as variant from orders group by strftime(o_orderdate, '%Y-%m-%d')),
+{JUDGED_SQL},
 results as (select substr(test_id, 3, 4)::bigint as year, test_id, count(*) as n, avg(quality_score) as quality from judged group by test_id)"""
 
 
@@ -93,6 +95,26 @@ def annual_suite(spark, sf):
     )
 
 
+@query(
+    "suite_runs",
+    f"""with tests as (select 'Y3_' || c_custkey || '_V' || lpad(v::varchar, 2, '0') || '_0115' as test_id, 20 as n, v::int as variant
+      from customer, (select 1 as v) where c_custkey % 3 <> 0),
+    {JUDGED_SQL},
+    results as (select split_part(test_id, '_', 2)::bigint as year, test_id, avg(quality_score) as quality from judged group by test_id)
+    select year, count(*) as num_variants, round(avg(quality), 6) as average_quality, round(min(quality), 6) as min_quality,
+      round(max(quality), 6) as max_quality, round(var_pop(quality), 6) as quality_variance, 'completed' as status
+    from results group by year""",
+)
+def suite_runs(spark, sf):
+    """A test for each customer, as if each were a year; a third of them have their run already."""
+    years = b.table(spark, sf, "customer").select(F.col("c_custkey").alias("year"))
+    suite = rn.annual_suite(years, years.where("year % 3 = 0"), stand_in, CREATED, "0115", variants=1)
+    return suite.runs.select(
+        big("year"), big("num_variants"), r6("average_quality"), r6("min_quality"), r6("max_quality"), r6("quality_variance"),
+        "status",
+    )
+
+
 @query(
     "subject_shares",
     f"""with {b.ORDER_QUESTIONS_SQL}, c as (select year, variant, coalesce(subject_area, 'unknown') as subject_area, count(*) as n from order_questions group by all)

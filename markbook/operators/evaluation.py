@@ -47,11 +47,41 @@ def quality_summary(evaluations: DataFrame, keys: tuple = ("test_id",)) -> DataF
     )
 
 
-def distribution(questions: DataFrame, keys: tuple = ("test_id",)) -> DataFrame:
+CELL = ("subject_area", "difficulty_level", "question_type")
+
+
+def quality_cells(evaluations: DataFrame, keys: tuple = ("test_id",)) -> DataFrame:
+    """Sums of quality per group, subject, difficulty and type: what a report needs of
+    the questions in one pass.  ``cell_summary`` and ``distribution`` take it from there.
+    """
+    score, level = F.col("quality_score"), F.col("readability_metrics.readability_level")
+    cells = evaluations.withColumnRenamed("stated_difficulty", "difficulty_level")
+    return cells.groupBy(*keys, *CELL).agg(
+        F.count("*").alias("n"),
+        F.sum(score).alias("score"),
+        F.count_if(level.between(2.0, 4.0)).alias("readable"),
+        F.count(level).alias("levels"),
+        F.count_if(is_high_quality(score)).alias("high"),
+        F.count_if(is_low_quality(score)).alias("low"),
+    )
+
+
+def cell_summary(cells: DataFrame, keys: tuple = ("test_id",)) -> DataFrame:
+    """The part of ``quality_summary`` that advice and report are made of."""
+    return cells.groupBy(*keys).agg(
+        F.sum("n").alias("total_questions"),
+        (F.sum("score") / F.sum("n")).alias("average_quality_score"),
+        (F.sum("readable") / F.nullif(F.sum("levels"), F.lit(0))).alias("readability_appropriateness_rate"),
+        F.sum("high").alias("high_quality_questions"),
+        F.sum("low").alias("low_quality_questions"),
+    )
+
+
+def distribution(questions: DataFrame, keys: tuple = ("test_id",), count: Column | None = None) -> DataFrame:
     """Count and share of every subject, difficulty and type per group, in one pass.
 
     Rows are counted by all three together first; only those counts are counted again
-    by each.
+    by each.  ``count`` is how many questions a row stands for, one unless given.
     """
     named = (
         questions.select(
@@ -59,9 +89,10 @@ def distribution(questions: DataFrame, keys: tuple = ("test_id",)) -> DataFrame:
             F.coalesce("subject_area", F.lit("unknown")).alias("subject"),
             F.coalesce(F.col("difficulty_level").cast("string"), F.lit("0")).alias("difficulty"),
             F.coalesce("question_type", F.lit("unknown")).alias("question_type"),
+            (F.lit(1) if count is None else count).cast("long").alias("__n"),
         )
         .groupBy(*keys, *DIMENSIONS)
-        .agg(F.count("*").alias("__n"))
+        .agg(F.sum("__n").alias("__n"))
     )
     counted = named.groupingSets([[*keys, d] for d in DIMENSIONS], *keys, *DIMENSIONS).agg(
         F.grouping_id(*keys, *DIMENSIONS).alias("__level"), F.sum("__n").alias("n")
