@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markbook.llm.common import WHITE_SPACE, stage, text_or_empty
+from markbook.llm.common import WHITE_SPACE, salted_join, stage, text_or_empty
 
 PREFIX_CHARS = 64
 
@@ -29,7 +29,7 @@ def exact_duplicates(
 
     Counting is pre-aggregated per task, so a text that a third of all rows share
     costs one row per task; the joins back have one row per group on their other
-    side, and adaptive execution splits their hot partitions.
+    side and salt the rows.
     """
     text = F.regexp_replace(text_or_empty(text_col), WHITE_SPACE, " ")
     signed = stage(
@@ -43,7 +43,7 @@ def exact_duplicates(
     rows = signed
     for known in (["length"], ["length", "prefix"]):
         repeated = rows.groupBy(*known).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*known)
-        rows = rows.join(repeated, known, "left_semi")
+        rows = salted_join(rows, repeated, known, "left_semi")
     groups = (
         rows.groupBy("length", "prefix", "text_sha256")
         .agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
@@ -51,7 +51,7 @@ def exact_duplicates(
         .select("text_sha256", "first", "n")
     )
     keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("first"))
-    return signed.join(groups, "text_sha256", "left").select(
+    return salted_join(signed, groups, ["text_sha256"], "left").select(
         "doc_id",
         keep.alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
