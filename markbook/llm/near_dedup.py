@@ -38,7 +38,7 @@ BANDS = 40
 #: Share of equal signature values below which a pair is not compared: 6 standard
 #: deviations below the threshold.
 LEAST_ESTIMATE = 0.55
-BLOCK = 1024
+BLOCK = 512
 
 _COUNT = (ROWS * BANDS + 1) // 2
 _FACTORS = np.array([xxhash.xxh32_intdigest(b"factor %d" % i) | 1 for i in range(_COUNT)], dtype=np.uint32)
@@ -281,7 +281,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     firsts = known.select("doc_id", "class", "bands").join(
         classes.select("class", F.col("first").alias("doc_id")), ["class", "doc_id"], "left_semi"
     )
-    members = stage(firsts.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id")).distinct())
+    members = stage(firsts.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id")))
     buckets = members.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     placed = stage(salted_join(members, buckets, ["key"]))
 
