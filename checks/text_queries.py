@@ -10,7 +10,7 @@ from checks.registry import big, joined, query, r6
 from markbook.config import DEFAULT
 from markbook.functions import similarity as sim
 from markbook.functions import text as tx
-from markbook.operators import quality, scoring
+from markbook.operators import scoring
 
 
 @query(
