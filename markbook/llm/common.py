@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Hashable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,21 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+_held: dict[Hashable, Any] = {}
+
+
+def held(owner: Hashable, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps between batches: the state of one operator at a time.
+
+    Workers outlive their tasks; the state of the operator before goes when another one
+    starts, so the stages of a pipeline do not add up in memory.
+    """
+    if owner not in _held:
+        _held.clear()
+        _held[owner] = make()
+    return _held[owner]
+
+
 #: Up to so many ids are sent to every executor (some 20 MB); beyond, rows are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 

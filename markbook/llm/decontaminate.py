@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from markbook.llm.automaton import SuffixAutomaton
-from markbook.llm.common import text_or_empty
+from markbook.llm.common import held, text_or_empty
 
 WINDOW = 13
 COVERAGE = 20  # contaminated when 1/20 of the words are hit
@@ -115,8 +115,6 @@ class Matcher:
         return spans, numbers
 
 
-_matchers: dict[str, Matcher] = {}
-
 SCANNED = "n_words long, starts array<int>, stops array<int>, items array<string>"
 
 
@@ -126,10 +124,7 @@ def _scan(docs: DataFrame, items: list[tuple[str, str | None]], window: int) ->
     key = hashlib.sha256(repr((window, items)).encode("utf-8", "surrogatepass")).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _matchers:  # once per worker
-            _matchers.clear()
-            _matchers[key] = Matcher(sent.value, window)
-        matcher = _matchers[key]
+        matcher = held(("benchmark", key), lambda: Matcher(sent.value, window))
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for text in batch.column("body"):

@@ -18,13 +18,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from markbook.llm.automaton import SuffixAutomaton
+from markbook.llm.common import held
 
 UNKNOWN = "und"
 #: Bounds of the sample: documents looked at and words kept, per language.
 SAMPLE_DOCUMENTS = 500
 SAMPLE_WORDS = 10_000
 SAMPLE_WORD_CHARS = 40
-_KEPT = 500_000  # words whose phrase counts a worker remembers
+_KEPT = 300_000  # words whose phrase counts a worker remembers
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -112,9 +113,6 @@ class Parser:
         return costs[0][1], (second - best) / second
 
 
-_parsers: dict[str, Parser] = {}
-
-
 def prediction(spark: SparkSession, samples: dict[str, list[str]]) -> Callable[[Column | str], Column]:
     """A function of a text column: ``struct<lang_pred, score>``.
 
@@ -127,10 +125,7 @@ def prediction(spark: SparkSession, samples: dict[str, list[str]]) -> Callable[[
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        if key not in _parsers:  # once per worker
-            _parsers.clear()
-            _parsers[key] = Parser(sent.value)
-        parser = _parsers[key]
+        parser = held(("language", key), lambda: Parser(sent.value))
         return pd.DataFrame([parser.predict(t) for t in texts], columns=["lang_pred", "score"])
 
     return predict
@@ -143,7 +138,7 @@ def predict_languages(docs: DataFrame) -> DataFrame:
     held out and not learnt from.  Repeated rows get equal answers; extra columns are
     ignored; an empty table gives no rows.  Nothing but the samples is shuffled.
     """
-    held = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
-    predict = prediction(docs.sparkSession, sample_words(docs.where(~held)))
+    out = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
+    predict = prediction(docs.sparkSession, sample_words(docs.where(~out)))
     found = docs.select("doc_id", predict("text").alias("found"))
-    return found.select("doc_id", held.alias("held_out"), "found.lang_pred", "found.score")
+    return found.select("doc_id", out.alias("held_out"), "found.lang_pred", "found.score")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markbook.llm.common import by_ids, salted_join, stage, text_or_empty
+from markbook.llm.common import by_ids, held, salted_join, stage, text_or_empty
 from markbook.llm.components import connected_components
 
 SHINGLE = 5
@@ -49,13 +49,16 @@ class _WordHashes(dict):
     """64-bit hashes of words, as bytes."""
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_digest(word)
         return value
 
 
-word_hash_bytes = _WordHashes()
+def word_hashes(sequence: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words."""
+    known = held("word hashes", _WordHashes)
+    return np.frombuffer(b"".join(map(known.__getitem__, sequence)), dtype=np.uint64)
 
 
 def words(text: str | None) -> list[bytes]:
@@ -67,7 +70,7 @@ def shingles(sequence: list[bytes], size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; a short sequence is one shingle."""
     if not sequence:
         return np.empty(0, dtype=np.uint64)
-    each = np.frombuffer(b"".join(map(word_hash_bytes.__getitem__, sequence)), dtype=np.uint64)
+    each = word_hashes(sequence)
     count = max(len(each) - size + 1, 1)
     mixed = np.full(count, min(len(each), size), dtype=np.uint64)
     for i in range(min(size, len(each))):

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from markbook.llm.common import text_or_empty
+from markbook.llm.common import held, text_or_empty
 
 TOKENIZER_FILE = public_tokenizers.path("word_bpe_49k.json")
 SIZE = 2048
@@ -205,7 +205,6 @@ class Packer:
         self.laid = sum(len(part) for _, part, _, _ in left)
 
 
-_encoders: dict[str, Encoder] = {}
 _PIECE = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
@@ -231,7 +230,7 @@ def pack(
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.get(tokenizer_file) or _encoders.setdefault(tokenizer_file, Encoder(tokenizer_file))
+        encoder = held(("tokenizer", tokenizer_file), lambda: Encoder(tokenizer_file))
         packer = Packer(encoder.ends_sentence, size, costs, TaskContext.get().partitionId() << 40)
         end = np.array([end_id], dtype="<u4").tobytes()
         id_type = None
