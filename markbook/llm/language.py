@@ -25,7 +25,7 @@ UNKNOWN = "und"
 SAMPLE_DOCUMENTS = 500
 SAMPLE_WORDS = 10_000
 SAMPLE_WORD_CHARS = 40
-_KEPT = 300_000  # words whose phrase counts a worker remembers
+_KEPT = 200_000  # words whose phrase counts a worker remembers
 _WORD = re.compile(r"[^\W\d_]+")
 
 

@@ -49,7 +49,7 @@ class _WordHashes(dict):
     """64-bit hashes of words, as bytes."""
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_digest(word)
         return value
