@@ -1,9 +1,10 @@
 """Main text of web pages by two-pass block rules.
 
-The page is cut into blocks.  The first pass decides blocks by their place (what the
-markup names as menu, footer, advert and so on; what it names as article), and else
-by length, link density and the share of stop words.  Blocks too short to tell stay
-open; the second pass gives them the label of the nearest decided neighbours.
+The page is cut into blocks.  What the markup names as menu, footer, advert and so on,
+and lists of links, are out.  The first pass weighs the others by the share of stop
+words, length and link density; an article or main element counts as one more feature.
+Blocks that this does not decide stay open; the second pass gives them the label of
+the nearest decided neighbours.
 """
 
 from __future__ import annotations
@@ -61,7 +62,10 @@ STOP_WORDS = frozenset(
 SHORT = 70  # characters below which a block without context is not decided
 LONG = 200
 LINKS = 0.5  # share of characters in links from which a block is a list of links
+SOME_LINKS = 0.25  # share from which links speak against a block
 STOPS_LOW, STOPS_HIGH = 0.15, 0.25
+IN_MAIN, OUTSIDE = 2, -2  # what the place counts on a page that names its article
+_WORD = re.compile(r"[\W\d_]+")
 
 
 @dataclass
@@ -197,24 +201,25 @@ def read_blocks(page: str) -> list[Block]:
     return reader.blocks
 
 
+def _evidence(block: Block, has_main: bool) -> int:
+    """What speaks for a block: stop words, length, few links, and its place if the page names its article."""
+    size = len(block.text)
+    score = 0
+    if size >= SHORT:
+        words = [w for w in _WORD.split(block.text.lower()) if w]
+        share = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
+        score += 2 if share >= STOPS_HIGH else 1 if share >= STOPS_LOW else -1
+    score += size >= LONG
+    score -= block.links > SOME_LINKS * size
+    return score + (IN_MAIN if block.main else OUTSIDE if has_main else 0)
+
+
 def _first_pass(block: Block, has_main: bool) -> str:
     """``good``, ``bad``, ``near`` (nearly good) or ``short`` (open)."""
-    size = len(block.text)
-    if block.hinted or block.links > LINKS * size:
-        return "bad"
-    if block.main:
-        return "good"
-    if has_main:
+    if block.hinted or block.links > LINKS * len(block.text):
         return "bad"
-    if size < SHORT:
-        return "short"
-    words = block.text.lower().split()
-    share = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
-    if share >= STOPS_HIGH:
-        return "good" if size >= LONG else "near"
-    if share >= STOPS_LOW:
-        return "near"
-    return "bad"
+    score = _evidence(block, has_main)
+    return "good" if score >= 3 else "near" if score >= 1 else "short" if score == 0 else "bad"
 
 
 def classify(blocks: list[Block]) -> None:
@@ -226,8 +231,10 @@ def classify(blocks: list[Block]) -> None:
     if "good" not in decided and "near" in (b.label for b in blocks):
         # Nothing is long enough to be sure: what is nearly good has to do.
         decided = ["good" if b.label == "near" else d for b, d in zip(blocks, decided, strict=True)]
-    before = _nearest(decided)
-    after = _nearest(decided[::-1])[::-1]
+    # What the markup names (an advert, say) tells nothing about the text around it.
+    told = ["" if b.hinted else d for b, d in zip(blocks, decided, strict=True)]
+    before = _nearest(told)
+    after = _nearest(told[::-1])[::-1]
     last = len(blocks)
     for i, b in enumerate(blocks):
         if decided[i]:
@@ -235,7 +242,9 @@ def classify(blocks: list[Block]) -> None:
             continue
         (left, left_at), (right, right_at) = before[i], after[i]
         gap_left, gap_right = i - left_at, last - 1 - right_at - i
-        if left == right:
+        if b.label == "near" and b.main:
+            b.label = "good"
+        elif left == right:
             b.label = left or "good"  # a page of short blocks only
         elif b.label == "near" or (b.tag in HEADINGS and right == "good"):
             b.label = "good"

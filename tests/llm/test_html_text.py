@@ -69,3 +69,20 @@ def test_odd_rows(spark):
     got = sorted((tuple(r) for r in html_text.extract(pages).collect()), key=repr)
     assert got == [(1, "u", "x", 1), (1, "u", "x", 1), (2, None, "", 0), (None, None, "", 0)]
     assert html_text.extract(pages.where("page_id > 5")).count() == 0
+
+
+def test_text_outside_a_teaser_article_is_weighed():
+    got = html_text.main_text(page(f"<article><p>Teaser.</p></article><p>{GOOD}{GOOD}</p><p>out</p>"))
+    assert got == f"Teaser.\n{GOOD}{GOOD}"
+
+
+def test_given_pages_without_their_article_element(spark):
+    equal = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        inner = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
+        parts = re.split(r"<[^>]*>", re.sub(r"</?b>", "", inner))
+        want = [x for x in (" ".join(html.unescape(p).split()) for p in parts) if x]
+        got = html_text.main_text(re.sub(r"(</?)(article|main)\b", r"\1div", r["html"]))
+        assert set(got.split("\n")) <= {*want, ""}
+        equal += got == "\n".join(want)
+    assert equal >= 200  # 120 of 250 when only the article element was read
