@@ -13,6 +13,10 @@ from markbook.plans.stage import shared_folder
 from markbook.sources import documents, sinks
 
 
+#: Questions per JSON document of a test.
+BLOCK = 1_000
+
+
 def _folder(spark) -> str:
     return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
 
@@ -47,7 +51,7 @@ def jsonl_round_trip(spark, sf):
       from documents""",
 )
 def document_round_trip(spark, sf):
-    """A test document of all texts of each source, written, read, checked and flattened."""
+    """A test of all texts of each source, written in documents of bounded size, read, checked and flattened."""
     d = b.table(spark, sf, "documents")
     i = F.col("doc_id")
     questions = d.select(
@@ -68,10 +72,9 @@ def document_round_trip(spark, sf):
         F.count("*").cast("int").alias("total_questions"),
     )
     path = _folder(spark)
-    sinks.write_tests(sinks.nest_tests(tests, questions), path)
-    raw = documents.read_documents(spark, f"{path}/*")
-    parsed = documents.parse_documents(raw).where("count_matches")
-    return documents.flatten_questions(parsed).select(
+    sinks.write_tests(sinks.nest_tests(tests, questions, BLOCK), path)
+    parsed = documents.parse_documents(documents.read_documents(spark, f"{path}/*/*"))
+    return documents.flatten_blocks(parsed).select(
         "test_id",
         big("question_no"),
         "question_id",

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from markbook.config import GRADE_LEVELS, QUESTION_TYPES, STIMULUS_TYPES, SUBJECTS
@@ -260,6 +260,32 @@ def flatten_questions(tests: DataFrame, keep: tuple = ()) -> DataFrame:
     ).select(*keep, "test_id", "test_metadata", "question_no", "question.*")
 
 
+def flatten_blocks(blocks: DataFrame) -> DataFrame:
+    """One row per question of tests written in blocks, numbered through all blocks.
+
+    Takes parsed documents with their ``file``, whose folder names the block.  A test
+    whose blocks do not hold the stated number of questions is left out, so one with a
+    block that breaks a rule is.  Only the sizes of the blocks meet by test.
+    """
+    number = F.regexp_extract("file", r"/block=(-?\d+)/[^/]*$", 1).cast("long")
+    sizes = blocks.select(
+        "file",
+        F.col("test_metadata.test_id").alias("_test"),
+        number.alias("_block"),
+        F.size("questions").alias("_n"),
+    )
+    test = Window.partitionBy("_test")
+    before = test.orderBy("_block", "file").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sizes.select(
+        "file",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+        F.sum("_n").over(test).alias("_all"),
+    )
+    whole = blocks.join(placed, "file").where(F.col("_all") == F.col("test_metadata.total_questions"))
+    numbered = flatten_questions(whole, ("_before",))
+    return numbered.withColumn("question_no", F.col("question_no") + F.col("_before")).drop("_before")
+
+
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     """Directory of documents to question rows; invalid documents are left out."""
     return flatten_questions(parse_documents(read_documents(spark, path)))
