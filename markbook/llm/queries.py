@@ -16,6 +16,7 @@ from markbook.llm import (
     near_dedup,
     packing,
     passages,
+    periodic,
     pii,
     quality,
     suffix_dedup,
@@ -99,4 +100,11 @@ def repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("n_words", F.col("stop") - F.col("start"))
 
 
+@query("op11_periodic_runs")
+def periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of words in every document, a tenth of which end in a planted period."""
+    docs = periodic.with_planted_runs(table(spark, folder, "documents"))
+    return periodic.digest(periodic.find_runs(docs))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
