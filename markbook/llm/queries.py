@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from markbook.llm import (
+    collocations,
     decontaminate,
     exact_dedup,
     html_text,
@@ -107,4 +108,10 @@ def periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periodic.digest(periodic.find_runs(docs))
 
 
+@query("op13_collocations", twins.COLLOCATIONS)
+def collocated(spark: SparkSession, folder: str) -> DataFrame:
+    """The best phrases of each language."""
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)

@@ -121,3 +121,47 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
 """
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+COLLOCATIONS = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?
+-]')) AS piece
+  FROM documents
+), listed AS (
+  SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM pieces
+), totals AS (
+  SELECT lang, sum(len(w)) AS n FROM listed GROUP BY lang
+), sized AS (
+  SELECT lang, w, unnest(range(1, 5)) AS k FROM listed WHERE len(w) > 0
+), grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS p
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM sized)
+), f AS (
+  SELECT lang, k, p, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 30
+), covered AS (
+  SELECT DISTINCT c.lang, c.p
+  FROM (SELECT lang, a AS b, k, p, string_split(p, ' ') AS w FROM f WHERE k >= 3) q,
+    unnest(range(2, q.k)) AS s(m), unnest(range(1, q.k - s.m + 2)) AS t(i), f c
+  WHERE c.lang = q.lang AND c.k = s.m AND c.p = array_to_string(q.w[t.i:t.i + s.m - 1], ' ')
+    AND 100 * q.b::HUGEINT >= 80 * c.a::HUGEINT
+), cuts AS (
+  SELECT lang, k, p, a, string_split(p, ' ') AS w, unnest(range(1, k)) AS cut
+  FROM f WHERE k >= 2 AND NOT EXISTS (SELECT 1 FROM covered c WHERE c.lang = f.lang AND c.p = f.p)
+), scored AS (
+  SELECT c.lang, c.p, c.a, l.a AS l, r.a AS r, c.cut,
+    (2000000::HUGEINT * c.a) // (l.a + r.a) AS score
+  FROM cuts c
+  JOIN f l ON l.lang = c.lang AND l.p = array_to_string(c.w[1:c.cut], ' ')
+  JOIN f r ON r.lang = c.lang AND r.p = array_to_string(c.w[c.cut + 1:c.k], ' ')
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS place FROM best
+)
+SELECT b.lang, b.place::BIGINT AS rank, b.p AS phrase, b.a::BIGINT AS a, b.l::BIGINT AS l, b.r::BIGINT AS r,
+  t.n::BIGINT AS n, b.score::BIGINT AS score
+FROM ranked b JOIN totals t USING (lang) WHERE b.place <= 2000
+"""
