@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from markbook.llm import (
     collocations,
+    cross_polytope,
     decontaminate,
     exact_dedup,
     html_text,
@@ -108,6 +109,12 @@ def periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periodic.digest(periodic.find_runs(docs))
 
 
+@query("op12_nearest_neighbours")
+def neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one."""
+    return cross_polytope.nearest_neighbours(table(spark, folder, "embeddings"), cross_polytope.every())
+
+
 @query("op13_collocations", twins.COLLOCATIONS)
 def collocated(spark: SparkSession, folder: str) -> DataFrame:
     """The best phrases of each language."""
