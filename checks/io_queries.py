@@ -10,11 +10,7 @@ from checks import bindings as b
 from checks.prepare_queries import EXAMPLES_SQL, _examples
 from checks.registry import big, query
 from markbook.plans.stage import shared_folder
-from markbook.sources import documents, sinks
-
-
-#: Questions per JSON document of a test.
-BLOCK = 1_000
+from markbook.sources import documents, sinks, test_files
 
 
 def _folder(spark) -> str:
@@ -51,7 +47,7 @@ def jsonl_round_trip(spark, sf):
       from documents""",
 )
 def document_round_trip(spark, sf):
-    """A test of all texts of each source, written in documents of bounded size, read, checked and flattened."""
+    """A test of all texts of each source, each written as one document, read, checked and flattened by lines."""
     d = b.table(spark, sf, "documents")
     i = F.col("doc_id")
     questions = d.select(
@@ -72,9 +68,9 @@ def document_round_trip(spark, sf):
         F.count("*").cast("int").alias("total_questions"),
     )
     path = _folder(spark)
-    sinks.write_tests(sinks.nest_tests(tests, questions, BLOCK), path)
-    parsed = documents.parse_documents(documents.read_documents(spark, f"{path}/*/*"))
-    return documents.flatten_blocks(parsed).select(
+    test_files.write_test_files(tests, questions, path)
+    read, _ = test_files.read_test_files(spark, path)
+    return read.where("count_matches").select(
         "test_id",
         big("question_no"),
         "question_id",

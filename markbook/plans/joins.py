@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from markbook.plans.stage import stage
+
 # Tasks that share the rows of one key where a plan cannot be changed as it runs.
 STREAM_SALTS = 16
+# Narrow rows up to which a table is sent to every executor.
+SMALL = 1_000_000
 
 
 def lookup_join(facts: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -33,6 +37,12 @@ def salted_join(facts: DataFrame, lookup: DataFrame, on: list[str], salts: int,
     return dealt.join(copies, [*on, "__salt"], how).drop("__salt")
 
 
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """Rows that are staged and counted: sent to every executor if there are few, joined by shuffle if not."""
+    staged = stage(df)
+    return F.broadcast(staged) if staged.count() <= most else staged
+
+
 def first_match(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The first row of each key by ``order``, rows without an order last.
 

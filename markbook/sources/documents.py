@@ -3,17 +3,17 @@
 A test document is one JSON object ``{test_metadata, questions[]}``.  Documents
 are read as text, checked against the rules of the document format while still
 untyped (so that an absent field, a null and a value of the wrong type can be
-told apart), and only then given the fixed schema.  No schema is inferred.
+told apart, see ``schema``), and only then given the fixed schema.  No schema is inferred.
 """
 
 from __future__ import annotations
 
-from itertools import count
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markbook.config import GRADE_LEVELS, QUESTION_TYPES, STIMULUS_TYPES, SUBJECTS
+from markbook.sources import schema
 
 METADATA_TYPE = (
     "struct<test_id:string,year:int,grade_level:string,subject_areas:array<string>,"
@@ -33,22 +33,9 @@ EXAMPLE_SCHEMA = (
     "difficulty_level int, question_type string"
 )
 
-# The rules of the document format, (path, type, required, allowed values).
-METADATA_RULES = (
-    ("test_id", "string", True, None),
-    ("year", "integer", True, None),
-    ("grade_level", "string", True, GRADE_LEVELS),
-    ("total_questions", "integer", True, None),
-    ("estimated_duration_minutes", "integer", False, None),
-    ("created_date", "string", False, None),
-)
-QUESTION_RULES = (
-    ("question_id", "string", True, None),
-    ("question_type", "string", True, QUESTION_TYPES),
-    ("subject_area", "string", True, SUBJECTS),
-    ("learning_objective", "string", False, None),
-    ("question_text", "string", True, None),
-)
+#: The rules of the document format, a draft-07 schema.
+FORMAT = schema.load_schema(Path(__file__).with_name("test_document.json"))
+_QUESTION = "#/definitions/question"
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -57,164 +44,14 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("document"))
 
 
-# The rules are written as one SQL expression: it nests deeply, and as text it is
-# parsed in one go.  ``_let`` names a value so that it is computed once.
-
-NOTHING = "cast(array() as array<string>)"
-_names = count()
-
-
-def _let(value: str, body) -> str:
-    name = f"x{next(_names)}"
-    return f"get(transform(array({value}), {name} -> {body(name)}), 0)"
-
-
-def _get(value: str, path: str) -> str:
-    return f"variant_get({value}, '$.{path}', 'variant')"
-
-
-def _kind(value: str) -> str:
-    """JSON type of a value; null when the value is absent."""
-    number = f"try_variant_get({value}, '$', 'double')"
-    return _let(
-        f"schema_of_variant({value})",
-        lambda t: f"""case
-          when {t} = 'STRING' then 'string' when {t} = 'BIGINT' then 'integer'
-          when {t} like 'DECIMAL%' or {t} in ('DOUBLE', 'FLOAT')
-            then if({number} = floor({number}), 'integer', 'number')
-          when {t} = 'BOOLEAN' then 'boolean' when {t} = 'VOID' then 'null'
-          when {t} like 'ARRAY%' then 'array' when {t} is not null then 'object' end""",
-    )
-
-
-def _type_checks(kind: str, where: str, expected: str, required: bool) -> str:
-    """Messages for a value of another type, or absent though required."""
-    article = "an" if expected[0] in "aio" else "a"
-    missing = f", if({kind} is null, concat({where}, ': missing'), null)" if required else ""
-    return f"array(if({kind} <> '{expected}', concat({where}, ': not {article} {expected}'), null){missing})"
-
-
-def _one_of(choices):
-    """Message for a text that is not among the allowed values."""
-    listed = ", ".join(f"'{c}'" for c in choices)
-
-    def look(value: str, kind: str, at: str) -> str:
-        outside = f"{kind} = 'string' and try_variant_get({value}, '$', 'string') not in ({listed})"
-        return f"array(if({outside}, concat({at}, ': not allowed'), null))"
-
-    return look
-
-
-def _field(parent: str, where: str, name: str, expected: str, required: bool, inside=None) -> str:
-    """Messages of one field: its type, and what ``inside(value, kind, where)`` finds."""
-    at = f"concat({where}, '.{name}')" if where != "''" else f"'{name}'"
-
-    def look(value: str) -> str:
-        def found(kind: str) -> str:
-            more = f", {inside(value, kind, at)}" if inside else ""
-            return f"concat({_type_checks(kind, at, expected, required)}{more})"
-
-        return _let(_kind(value), found)
-
-    return _let(_get(parent, name), look)
-
-
-def _fields(parent: str, where: str, rules) -> str:
-    """Messages of all plain fields of an object."""
-    return ", ".join(
-        _field(parent, where, name, kind, required, _one_of(choices) if choices else None)
-        for name, kind, required, choices in rules
-    )
-
-
-def _list_of(expected: str, inside=None):
-    """Messages of the elements of a list, each of the expected type."""
-
-    def look(value: str, kind: str, where: str) -> str:
-        e, i = f"e{next(_names)}", f"i{next(_names)}"
-        at = f"concat({where}, '[', {i}, ']')"
-
-        def found(k: str) -> str:
-            more = f", {inside(e, k, at)}" if inside else ""
-            return f"concat({_type_checks(k, at, expected, False)}{more})"
-
-        elements = f"""coalesce(if({kind} = 'array', try_variant_get({value}, '$', 'array<variant>'), null),
-          cast(array() as array<variant>))"""
-        return f"flatten(transform({elements}, ({e}, {i}) -> {_let(_kind(e), found)}))"
-
-    return look
-
-
-def _object_with(rules, *lists, required: str | None = None):
-    """Messages of the fields of an object: plain ones, lists, one possibly required."""
-
-    def look(value: str, kind: str, at: str) -> str:
-        parts = [_fields(value, at, rules)]
-        parts += [_field(value, at, n, "array", False, _list_of(t, f)) for n, t, f in lists]
-        if required:
-            absent = f"{_get(value, required)} is null"
-            parts.append(f"array(if({absent}, concat({at}, '.{required}: missing'), null))")
-        return f"if({kind} = 'object', concat({', '.join(parts)}), {NOTHING})"
-
-    return look
-
-
-def _within_levels(value: str, kind: str, at: str) -> str:
-    number = f"try_variant_get({value}, '$', 'double')"
-    outside = f"{kind} in ('integer', 'number') and {number} not between 1 and 5"
-    return f"array(if({outside}, concat({at}, ': outside 1..5'), null))"
-
-
-def _question(value: str, kind: str, at: str) -> str:
-    """Messages of one question."""
-    text = lambda name, required=False: (name, "string", required, None)
-    answer = _object_with(
-        (text("answer"), text("explanation")),
-        ("acceptable_variations", "string", None),
-        required="answer",
-    )
-    criterion = _object_with((("points", "integer", False, None), text("criteria")))
-    rubric = _object_with(
-        (("points_possible", "integer", False, None),),
-        ("scoring_criteria", "object", criterion),
-        required="points_possible",
-    )
-    stimulus = _object_with(
-        (("type", "string", False, STIMULUS_TYPES), text("content"), text("title"))
-    )
-    option = _object_with((text("option_id", True), text("text", True)))
-    found = ", ".join(
-        (
-            _fields(value, at, QUESTION_RULES),
-            _field(value, at, "difficulty_level", "integer", True, _within_levels),
-            _field(value, at, "stimulus", "object", False, stimulus),
-            _field(value, at, "correct_answer", "object", True, answer),
-            _field(value, at, "scoring_rubric", "object", True, rubric),
-            _field(value, at, "options", "array", False, _list_of("object", option)),
-            _field(value, at, "tags", "array", False, _list_of("string")),
-        )
-    )
-    return f"if({kind} = 'object', concat({found}), {NOTHING})"
-
-
-def _metadata(value: str, kind: str, at: str) -> str:
-    areas = _field(
-        value, at, "subject_areas", "array", True, _list_of("string", _one_of(SUBJECTS))
-    )
-    return f"if({kind} = 'object', concat({_fields(value, at, METADATA_RULES)}, {areas}), {NOTHING})"
-
-
 def violations(document: str) -> Column:
     """Every rule of the document format that a JSON text column breaks, as an array."""
+    return schema.violations(FORMAT, document)
 
-    def rules(root: str) -> str:
-        return f"""if({root} is null, array('not JSON'), filter(concat(
-          {_type_checks(_kind(root), "'document'", 'object', False)},
-          {_field(root, "''", 'test_metadata', 'object', True, _metadata)},
-          {_field(root, "''", 'questions', 'array', True, _list_of('object', _question))}
-        ), v -> v is not null))"""
 
-    return F.expr(_let(f"try_parse_json(`{document}`)", rules))
+def question_violations(document: str) -> Column:
+    """The rules that the JSON text of one question breaks, as an array."""
+    return schema.violations({"$ref": _QUESTION}, document, "question", FORMAT)
 
 
 def with_violations(documents: DataFrame, document: str = "document") -> DataFrame:
@@ -222,6 +59,12 @@ def with_violations(documents: DataFrame, document: str = "document") -> DataFra
     return documents.withColumn("violations", violations(document))
 
 
+def parsed_question(document: str) -> Column:
+    """The JSON text of one question as a struct; integers may be written as decimals."""
+    read = F.from_json(F.col(document), f"struct<{QUESTION_FIELDS}>".replace(":int", ":double"))
+    return read.try_cast(f"struct<{QUESTION_FIELDS}>")
+
+
 def parse_documents(documents: DataFrame, document: str = "document") -> DataFrame:
     """Give the fixed schema to documents that break no rule; drop the others.
 
@@ -260,32 +103,6 @@ def flatten_questions(tests: DataFrame, keep: tuple = ()) -> DataFrame:
     ).select(*keep, "test_id", "test_metadata", "question_no", "question.*")
 
 
-def flatten_blocks(blocks: DataFrame) -> DataFrame:
-    """One row per question of tests written in blocks, numbered through all blocks.
-
-    Takes parsed documents with their ``file``, whose folder names the block.  A test
-    whose blocks do not hold the stated number of questions is left out, so one with a
-    block that breaks a rule is.  Only the sizes of the blocks meet by test.
-    """
-    number = F.regexp_extract("file", r"/block=(-?\d+)/[^/]*$", 1).cast("long")
-    sizes = blocks.select(
-        "file",
-        F.col("test_metadata.test_id").alias("_test"),
-        number.alias("_block"),
-        F.size("questions").alias("_n"),
-    )
-    test = Window.partitionBy("_test")
-    before = test.orderBy("_block", "file").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sizes.select(
-        "file",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-        F.sum("_n").over(test).alias("_all"),
-    )
-    whole = blocks.join(placed, "file").where(F.col("_all") == F.col("test_metadata.total_questions"))
-    numbered = flatten_questions(whole, ("_before",))
-    return numbered.withColumn("question_no", F.col("question_no") + F.col("_before")).drop("_before")
-
-
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     """Directory of documents to question rows; invalid documents are left out."""
     return flatten_questions(parse_documents(read_documents(spark, path)))

@@ -1,16 +1,8 @@
-"""Writing examples, tests, scores and reports."""
+"""Writing examples, scores and reports; ``test_files`` writes tests."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-QUESTION_COLUMNS = (
-    "question_id", "question_type", "subject_area", "difficulty_level", "learning_objective",
-    "stimulus", "question_text", "options", "correct_answer", "scoring_rubric", "tags",
-    "generated_at", "validation_score", "validation_warnings",
-)
-
 
 def write_jsonl(df: DataFrame, path: str, partition_by: str | None = None) -> None:
     """Newline-delimited JSON, for example examples by ``split``."""
@@ -18,33 +10,6 @@ def write_jsonl(df: DataFrame, path: str, partition_by: str | None = None) -> No
     (writer.partitionBy(partition_by) if partition_by else writer).json(path)
 
 
-def nest_tests(tests: DataFrame, questions: DataFrame, block_size: int | None = None) -> DataFrame:
-    """One row per test with its metadata and its questions in order.
-
-    A test is one JSON document, so its questions meet in one row.  With ``block_size``
-    a test is one document per ``block``: the questions whose numbers have the same
-    quotient by it, so numbers that do not repeat give at most so many questions.
-    """
-    fields = [c for c in QUESTION_COLUMNS if c in questions.columns]
-    keys = ["test_id"]
-    if block_size:
-        keys.append("block")
-        questions = questions.withColumn("block", F.coalesce(F.floor(F.col("question_no") / block_size), F.lit(-1)))
-    listed = F.transform(
-        F.array_sort(F.collect_list(F.struct("question_no", F.struct(*fields).alias("q")))),
-        lambda x: x["q"],
-    )
-    nested = questions.groupBy(*keys).agg(listed.alias("questions"))
-    metadata = F.struct(*tests.columns)
-    return tests.select("test_id", metadata.alias("test_metadata")).join(nested, "test_id")
-
-
-def write_tests(documents: DataFrame, path: str) -> None:
-    """One folder per test holding its JSON document, or one per block in that."""
-    keys = [c for c in ("test_id", "block") if c in documents.columns]
-    documents.write.mode("overwrite").partitionBy(*keys).json(path)
-
-
 def write_table(df: DataFrame, path: str, partition_by: str | None = None) -> None:
     """Parquet table, optionally partitioned; only the written partitions are replaced."""
     writer = df.write.mode("overwrite")

@@ -121,16 +121,6 @@ def test_jsonl_round_trip_and_malformed_line(spark, tmp_path):
         docs.read_jsonl(spark, str(tmp_path / "bad.jsonl")).collect()
 
 
-def test_tests_are_written_as_documents(spark, tmp_path, folder):
-    parsed = docs.parse_documents(docs.read_documents(spark, folder))
-    questions = docs.flatten_questions(parsed)
-    meta = parsed.select("test_metadata.*")
-    nested = sinks.nest_tests(meta, questions)
-    sinks.write_tests(nested, str(tmp_path / "tests"))
-    back = spark.read.schema(docs.DOCUMENT_SCHEMA).json(str(tmp_path / "tests" / "test_id=REEF"))
-    assert [q.question_id for q in back.first().questions] == ["reef-essay", "reef-food", "reef-word", "reef-verb"]
-
-
 def test_spread_only_deals_out_small_scans(spark, tmp_path):
     spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "one"))
     spark.range(1000).repartition(8).write.option("maxRecordsPerFile", 50).parquet(str(tmp_path / "many"))
@@ -138,23 +128,3 @@ def test_spread_only_deals_out_small_scans(spark, tmp_path):
     many = spark.read.option("openCostInBytes", "0").parquet(str(tmp_path / "many"))
     wide = many.repartition(9)
     assert spread(wide) is wide
-
-
-def test_large_tests_are_written_in_blocks(spark, tmp_path):
-    questions = spark.range(95).selectExpr(
-        "if(id % 3 = 0, 'A', 'B') as test_id", "id as question_no", "concat('q', id) as question_id",
-        "'short_answer' as question_type", "'vocabulary' as subject_area", "1 as difficulty_level",
-        "concat('text ', id) as question_text", "named_struct('answer', 'x') as correct_answer",
-        "named_struct('points_possible', 1) as scoring_rubric",
-    )
-    tests = spark.sql(
-        "select test_id, 2000 as year, 'Year 3' as grade_level, array('vocabulary') as subject_areas, n as total_questions"
-        " from values ('A', 32), ('B', 64) as t(test_id, n)"
-    )  # B has 63
-    nested = sinks.nest_tests(tests, questions, 10)
-    assert max(r["n"] for r in nested.selectExpr("size(questions) as n").collect()) <= 10
-    path = str(tmp_path / "tests")
-    sinks.write_tests(nested, path)
-    parsed = docs.parse_documents(docs.read_documents(spark, f"{path}/*/*"))
-    got = docs.flatten_blocks(parsed).orderBy("question_no").collect()
-    assert [(r["test_id"], r["question_no"], r["question_id"]) for r in got] == [("A", i, f"q{3 * i}") for i in range(32)]
