@@ -9,5 +9,6 @@ def load() -> None:
         quality_queries,
         run_queries,
         scoring_queries,
+        sentence_queries,
         text_queries,
     )

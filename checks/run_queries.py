@@ -80,7 +80,7 @@ results as (select substr(test_id, 3, 4)::bigint as year, test_id, count(*) as n
 
 @query(
     "annual_suite",
-    f"""with {SUITE_SQL} select year, count(*) as tests, sum(n)::bigint as questions, round(avg(quality), 6) as average_quality,
+    f"""with recursive {SUITE_SQL} select year, count(*) as tests, sum(n)::bigint as questions, round(avg(quality), 6) as average_quality,
     round(min(quality), 6) as min_quality, round(max(quality), 6) as max_quality, round(var_pop(quality), 6) as quality_variance
     from results group by year""",
 )
@@ -97,7 +97,7 @@ def annual_suite(spark, sf):
 
 @query(
     "suite_runs",
-    f"""with tests as (select 'Y3_' || c_custkey || '_V' || lpad(v::varchar, 2, '0') || '_0115' as test_id, 20 as n, v::int as variant
+    f"""with recursive tests as (select 'Y3_' || c_custkey || '_V' || lpad(v::varchar, 2, '0') || '_0115' as test_id, 20 as n, v::int as variant
       from customer, (select 1 as v) where c_custkey % 3 <> 0),
     {JUDGED_SQL},
     results as (select split_part(test_id, '_', 2)::bigint as year, test_id, avg(quality_score) as quality from judged group by test_id)
