@@ -24,12 +24,12 @@ from dataclasses import dataclass, field
 from urllib.parse import quote
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from markbook.plans.files import exists, file_system
 from markbook.plans.positions import numbered_lines
 from markbook.sources import documents
 
@@ -48,14 +48,6 @@ def file_name(test_id: str) -> str:
     return f"{quote(test_id, safe=' +,=@()')}.json"
 
 
-def _open(uri: str) -> tuple[pafs.FileSystem, str]:
-    if "://" in uri or uri.startswith("file:"):
-        scheme, rest = uri.split(":", 1)
-        rest = rest if rest.startswith("//") else f"//{rest}"
-        return pafs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + rest)
-    return pafs.LocalFileSystem(), uri
-
-
 @dataclass
 class Piece:
     """A part of a test that another task may have more of."""
@@ -82,7 +74,7 @@ class _Task:
         context = TaskContext.get()
         self.number = context.partitionId() if context else 0
         attempt = context.taskAttemptId() if context else 0
-        self.fs, self.folder = _open(folder)
+        self.fs, self.folder = file_system(folder)
         self.own = f"{self.folder}/_tasks/{self.number}-{attempt}"
         self.fs.create_dir(self.own, recursive=True)
         self.out = None
@@ -146,13 +138,13 @@ class TestFileWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         if any(m is None for m in messages):
             raise RuntimeError("a task did not say what it wrote")
-        fs, folder = _open(self.folder)
+        fs, folder = file_system(self.folder)
         with fs.open_output_stream(f"{folder}/_pieces.json") as out:
             out.write(json.dumps([p.__dict__ for m in messages for p in m.pieces]).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
-        fs, folder = _open(self.folder)
-        if fs.get_file_info(folder).type == pafs.FileType.Directory:
+        fs, folder = file_system(self.folder)
+        if exists(fs, folder):
             fs.delete_dir(folder)
 
 
@@ -176,7 +168,7 @@ def _joined(folder: str, pieces: list[Piece]) -> bool:
     """Copy the pieces of one test, in order of their tasks, into its document."""
     if not any(p.headed for p in pieces):
         return False
-    fs, base = _open(folder)
+    fs, base = file_system(folder)
     target = f"{base}/_tasks/{uuid.uuid4().hex}"
     with fs.open_output_stream(target, buffer_size=1 << 20) as out:
         questions = 0
@@ -194,7 +186,7 @@ def _joined(folder: str, pieces: list[Piece]) -> bool:
 
 def _join_pieces(spark: SparkSession, folder: str) -> None:
     """Second job: the tests at the borders of tasks, at most two per task, one task each."""
-    fs, base = _open(folder)
+    fs, base = file_system(folder)
     with fs.open_input_stream(f"{base}/_pieces.json") as source:
         pieces = json.loads(source.read())
     tests: dict[str, list[dict]] = {}
@@ -228,7 +220,7 @@ def write_test_files(tests: DataFrame, questions: DataFrame, path: str) -> None:
     body = F.to_json(F.struct(*fields))
     listed = questions.select("test_id", F.lit(_QUESTION).alias("kind"), F.col("question_no").cast("long"), body.alias("body"))
     rows = heads.unionByName(listed).where(F.col("test_id").isNotNull())
-    fs, base = _open(path)
+    fs, base = file_system(path)
     parent, _, name = base.rstrip("/").rpartition("/")
     staged = f"{parent}/_{name}-{uuid.uuid4().hex}"
     staged_uri = path.rstrip("/")[: -len(name)] + staged.rpartition("/")[2]
@@ -240,7 +232,7 @@ def write_test_files(tests: DataFrame, questions: DataFrame, path: str) -> None:
     fs.delete_dir(f"{staged}/_tasks")
     fs.delete_file(f"{staged}/_pieces.json")
     fs.open_output_stream(f"{staged}/_SUCCESS").close()
-    if fs.get_file_info(base).type == pafs.FileType.Directory:
+    if exists(fs, base):
         old = f"{parent}/_{name}-{uuid.uuid4().hex}"
         fs.move(base, old)
         fs.move(staged, base)
