@@ -1,7 +1,8 @@
 """Main text of web pages by two-pass block rules.
 
 The page is cut into blocks.  What the markup names as menu, footer, advert and so on,
-and lists of links, are out.  The first pass weighs the others by the share of stop
+and lists of links, are out; but a name or a form around the main element or most of the
+page's text says nothing about it, so it does not count.  The first pass weighs the others by the share of stop
 words, length and link density; an article or main element counts as one more feature.
 Blocks that this does not decide stay open; the second pass gives them the label of
 the nearest decided neighbours.
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,12 +31,14 @@ _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("
 
 # HTML's elements by their role.
 RAW = frozenset("script style noscript template svg math iframe object title textarea select head".split())
+# Of those, the ones whose start tag alone counts for nothing if they are never closed.
+CLOSED = frozenset("noscript template svg math object select iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     """a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp
     small span strike strong sub sup time tt u var wbr""".split()
 )
-BOILERPLATE = frozenset("nav footer aside form menu button dialog header fieldset".split())
+BOILERPLATE = frozenset("nav footer aside form menu button dialog header fieldset option".split())
 MAIN = frozenset("article main".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -48,6 +52,11 @@ _NAMES = re.compile(
     re.I,
 )
 _HEADER_NAMES = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
+_COMMENT_NAMES = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies)(?:$|[\s_-])", re.I)
+# Names that tell how an element looks or what is beside it, not what it is.
+_STATE_NAMES = re.compile(
+    r"^(?:has|with|without|no|is|hide|show|js)[_-]|[_-](?:enabled|disabled|open|opened|closed|active|visible|hidden|left|right)$", re.I
+)
 # Frequent function words of the languages at hand.
 STOP_WORDS = frozenset(
     """a about an and are as at be but by for from has have he her his i in is it not of on or she that the their they
@@ -64,6 +73,8 @@ LONG = 200
 LINKS = 0.5  # share of characters in links from which a block is a list of links
 SOME_LINKS = 0.25  # share from which links speak against a block
 STOPS_LOW, STOPS_HIGH = 0.15, 0.25
+MOST = 0.5  # share of the page's text from which a name or form around it does not count
+NAMED, COMMENTS, HIDDEN = 1, 2, 3  # what attributes tell
 IN_MAIN, OUTSIDE = 2, -2  # what the place counts on a page that names its article
 _WORD = re.compile(r"[\W\d_]+")
 
@@ -73,24 +84,40 @@ class Block:
     text: str
     tag: str
     links: int  # characters in links
-    hinted: bool  # inside something named as boilerplate
+    hint: int  # the nearest element around it that is named as boilerplate, or -1
     main: bool  # inside an article or main element
+    hinted: bool = False  # whether such a name counts
     label: str = ""
 
 
+@dataclass
+class _Hint:
+    """An element that the markup names as boilerplate."""
+
+    around: int  # the next one around it, or -1
+    weighed: bool  # whether it is a name or a form, which the text inside can overrule
+    size: int = 0  # characters inside, without links
+    holds_main: bool = False
+
+
 @dataclass
 class _Open:
     tag: str
-    boilerplate: bool
+    hint: int
     main: bool
 
 
+_NOTHING = _Open("", -1, False)
+
+
 @dataclass
 class _Reader:
     """Cuts a page into blocks."""
 
     blocks: list[Block] = field(default_factory=list)
     stack: list[_Open] = field(default_factory=list)
+    counts: Counter[str] = field(default_factory=Counter)  # open elements by tag
+    hints: list[_Hint] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
     linked: list[str] = field(default_factory=list)
     in_link: int = 0
@@ -101,10 +128,31 @@ class _Reader:
         text = " ".join(html.unescape("".join(self.parts)).split())
         if text:
             links = len(" ".join(html.unescape("".join(self.linked)).split()))
-            top = self.stack[-1] if self.stack else _Open("", False, False)
-            self.blocks.append(Block(text, self.block_tag, links, top.boilerplate, top.main))
+            top = self.stack[-1] if self.stack else _NOTHING
+            self.blocks.append(Block(text, self.block_tag, links, top.hint, top.main))
+            if top.hint >= 0:
+                self.hints[top.hint].size += max(0, len(text) - links)
         self.parts, self.linked, self.breaks = [], [], 0
 
+    def pop(self) -> str:
+        tag = self.stack.pop().tag
+        self.counts[tag] -= 1
+        return tag
+
+    def weigh_hints(self) -> None:
+        """Tell each block whether a name around it counts.  Elements come after those around them."""
+        total = sum(max(0, len(b.text) - b.links) for b in self.blocks)
+        for hint in reversed(self.hints):
+            if hint.around >= 0:
+                self.hints[hint.around].size += hint.size
+                self.hints[hint.around].holds_main |= hint.holds_main
+        counts = []
+        for hint in self.hints:
+            overruled = hint.weighed and (hint.holds_main or hint.size >= max(LONG, MOST * total))
+            counts.append(not overruled or (hint.around >= 0 and counts[hint.around]))
+        for b in self.blocks:
+            b.hinted = b.hint >= 0 and counts[b.hint]
+
     def text(self, data: str) -> None:
         if self.breaks > 1 and not data.isspace():
             self.flush()
@@ -129,52 +177,68 @@ class _Reader:
             if tag in VOID:
                 return
             if self.stack and self.stack[-1].tag == "p":
-                self.stack.pop()
+                self.pop()
             if tag in ("li", "tr", "td", "th", "dt", "dd", "option") and self.stack and self.stack[-1].tag == tag:
-                self.stack.pop()
+                self.pop()
             self.block_tag = tag
-        top = self.stack[-1] if self.stack else _Open("", False, False)
+        top = self.stack[-1] if self.stack else _NOTHING
         main = top.main or tag in MAIN
         # An article's own header holds its title; its footer and the rest do not belong to it.
         own = tag in BOILERPLATE and not (tag == "header" and top.main)
-        named = bool(attributes and tag not in ("body", "html") and _named(attributes, main))
-        hinted = top.boilerplate or own or named
+        told = _named(attributes, main) if attributes and tag not in ("body", "html") else 0
+        if tag in MAIN and told != HIDDEN:
+            told = 0
         if tag in INLINE:
             self.flush()
-        self.stack.append(_Open(tag, hinted, main))
+        hint = top.hint
+        if own or told:
+            hint = len(self.hints)
+            self.hints.append(_Hint(top.hint, told in (0, NAMED) and (not own or tag == "form")))
+        if tag == "main" and hint >= 0:
+            self.hints[hint].holds_main = True
+        self.stack.append(_Open(tag, hint, main))
+        self.counts[tag] += 1
 
     def close(self, tag: str) -> None:
         if tag == "a":
             self.in_link = 0
-        known = any(o.tag == tag for o in reversed(self.stack))
+        known = self.counts[tag] > 0
         if tag in INLINE and not (known and self.stack[-1].tag == tag):
             return
         self.flush()
         self.in_link = 0
         if known:
-            while self.stack.pop().tag != tag:
+            while self.pop() != tag:
                 pass
         self.block_tag = self.stack[-1].tag if self.stack else ""
 
 
-def _named(attributes: str, in_main: bool) -> bool:
-    """Whether attributes name something that is not the article."""
+def _named(attributes: str, in_main: bool) -> int:
+    """Whether attributes name something that is not the article: ``NAMED``, ``COMMENTS``, ``HIDDEN`` or 0."""
+    told = 0
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name in ("class", "id") and (_NAMES.search(value) or (not in_main and _HEADER_NAMES.search(value))):
-            return True
+        if name in ("class", "id"):
+            for word in value.split():
+                if _STATE_NAMES.search(word):
+                    continue
+                if _COMMENT_NAMES.search(word):
+                    told = max(told, COMMENTS)
+                elif _NAMES.search(word) or (not in_main and _HEADER_NAMES.search(word)):
+                    told = max(told, NAMED)
         if name == "role" and value in BOILERPLATE_ROLES:
-            return True
+            told = max(told, NAMED if value == "form" else HIDDEN)
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            told = HIDDEN
         if name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-    return False
+            told = HIDDEN
+    return told
 
 
 def read_blocks(page: str) -> list[Block]:
     reader = _Reader()
     at, end = 0, len(page)
+    unclosed: set[str] = set()  # elements that nothing closes from here on
     while at < end:
         found = _TOKEN.match(page, at)
         at = found.end()
@@ -188,7 +252,12 @@ def read_blocks(page: str) -> list[Block]:
         if closing:
             reader.close(tag)
         elif tag in RAW and not attributes.endswith("/"):
+            if tag in unclosed:
+                continue
             over = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            if over is None and tag in CLOSED:
+                unclosed.add(tag)
+                continue
             if tag == "head":  # its end may be implied
                 body = re.compile(r"<body\b", re.I).search(page, at)
                 if over is None or (body and body.start() < over.start()):
@@ -198,6 +267,7 @@ def read_blocks(page: str) -> list[Block]:
         else:
             reader.open(tag, attributes)
     reader.flush()
+    reader.weigh_hints()
     return reader.blocks
 
 

@@ -32,6 +32,33 @@ def test_blocks(body, text):
     assert html_text.main_text(page(body)) == text
 
 
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        ("<main class='content has-sidebar'><article><p>Text.</p></article></main>", "Text."),
+        ("<article class='post share-enabled'><p>Text.</p></article>", "Text."),
+        (f"<div class='page with-sidebar'><p>{GOOD}{GOOD}</p></div>", f"{GOOD}{GOOD}"),
+        (f"<div class='sidebar-layout'><p>{GOOD}{GOOD}</p><p>{GOOD}</p></div><div class='sidebar'><p>{GOOD}</p></div>", f"{GOOD}{GOOD}\n{GOOD}"),
+        (f"<form id=aspnetForm><nav>Menu</nav><h1>Title</h1><p>{GOOD}{GOOD}</p><form><p>Mail</p></form></form>", f"Title\n{GOOD}{GOOD}"),
+        ("<form><main class=widget><p>Short.</p></main></form><p>out</p>", "Short."),
+        (f"<p>{GOOD}{GOOD}</p><select><option>One<p>{GOOD}{GOOD}</p>", f"{GOOD}{GOOD}"),
+        (f"<p>{GOOD}{GOOD}</p><select><div>Text behind.</div><p>{GOOD}{GOOD}</p>", f"{GOOD}{GOOD}\nText behind.\n{GOOD}{GOOD}"),
+        (f"<p>{GOOD}{GOOD}</p><div class=comments><p>{GOOD}{GOOD}</p><p>{GOOD}{GOOD}</p></div>", f"{GOOD}{GOOD}"),
+        (f"<p>{GOOD}{GOOD}</p><div hidden><p>{GOOD}{GOOD}</p><p>{GOOD}{GOOD}</p></div>", f"{GOOD}{GOOD}"),
+        (f"<div class=newsletter><form><p>{GOOD}</p></form></div><article><p>Text.</p></article><p>{GOOD}{GOOD}</p>", f"Text.\n{GOOD}{GOOD}"),
+    ],
+)
+def test_names_around_most_of_the_text_do_not_count(body, text):
+    assert html_text.main_text(page(body)) == text
+
+
+@pytest.mark.parametrize("unit", ["<div>", "<div></span>", "<div class=sidebar>", "<select>", "<svg><p>x", "<form><b class=ad>", "<main class=nav>"])
+def test_unclosed_elements_take_linear_time(unit):
+    start = time.time()
+    html_text.main_text(unit * 100_000 + "x" + "</span>" * 100_000)
+    assert time.time() - start < 5
+
+
 def test_short_blocks_inherit_from_the_nearest():
     links = "<p><a href=x>one link</a></p>"
     body = f"<p>{GOOD}{GOOD}</p><p>near good</p>{links}<p>near bad</p>{links}<div>between</div><p>{GOOD}{GOOD}</p>"
