@@ -14,7 +14,6 @@ at n log^2 n for a text of n words, whatever it repeats.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
