@@ -191,6 +191,84 @@ def test_item_scores(spark, sf):
     )
 
 
+# Tests of all three kinds of questions: short answers are given exactly, by a variation, wrongly or not at all.
+MIXED = ("multiple_choice", "short_answer", "extended_response")
+_TURN_KIND = "(conv_id + turn // 2) % 2"
+MIXED_BANK_SQL = (
+    b.DIALOGUE_BANK_SQL.replace(f"['multiple_choice', 'extended_response'][{_TURN_KIND} + 1]", "['multiple_choice', 'short_answer', 'extended_response'][(conv_id + turn // 2) % 3 + 1]")
+    .replace(f"case when {_TURN_KIND} = 0 then 1 else 4 end", "case when (conv_id + turn // 2) % 3 = 0 then 1 else 4 end")
+    .replace("responses as (", "said as (")
+)
+MIXED_ITEMS_SQL = f"""{MIXED_BANK_SQL},
+ways as (select *, (test_id::bigint + question_no // 2) // 3 % 4 as way from bank),
+responses as (select said.* from said semi join bank on bank.test_id = said.test_id and bank.question_id = said.question_id and bank.question_type <> 'short_answer'
+  union all select 's' || (test_id::bigint % 50), test_id, question_id,
+    case way when 0 then '  reef... NUMBER ' || test_id || ' !' when 1 then 'The Coral, ' || test_id else '\u2603' end
+  from ways where question_type = 'short_answer' and way < 3),
+sat as (select distinct student_id, test_id from responses),
+asked as (select student_id, w.*, coalesce(r.response, '') as response
+  from sat join ways w using (test_id) left join responses r using (student_id, test_id, question_id)),
+x as ({s.analysis('asked', 'student_id, test_id, question_no, question_id, question_type, subject_area, key_letter, explanation, points_possible, way')}),
+items as (select *, case question_type when 'multiple_choice' then {POINTS} when 'short_answer' then case when way < 2 then 2 else 0 end
+    else {s.extended_points('4')} end as points_earned
+  from (select *, {s.letter('response')} as chosen from x)),
+judged as (select *, case question_type when 'multiple_choice' then chosen = key_letter when 'short_answer' then way < 2
+   else points_earned >= points_possible * 0.6::double end as is_correct from items)"""
+
+
+def _mixed_items(spark, sf):
+    bank, test = b.dialogue_bank(spark, sf, MIXED), F.col("test_id")
+    short = F.col("question_type") == "short_answer"
+    way = F.floor((test.cast("bigint") + F.floor(F.col("question_no") / 2)) / 3) % 4
+    key = F.struct(
+        F.concat(F.lit("Reef number "), test).alias("answer"),
+        F.lit(None).cast("string").alias("explanation"),
+        F.array(F.concat(F.lit("coral "), test)).alias("acceptable_variations"),
+    )
+    bank = bank.withColumn("correct_answer", F.when(short, key).otherwise(F.col("correct_answer")))
+    said = b.dialogue_responses(spark, sf).join(bank.where(~short), ["test_id", "question_id"], "left_semi")
+    response = (
+        F.when(way == 0, F.concat(F.lit("  reef... NUMBER "), test, F.lit(" !")))
+        .when(way == 1, F.concat(F.lit("The Coral, "), test))
+        .otherwise("\u2603")
+    )
+    student = F.concat(F.lit("s"), (test.cast("bigint") % 50).cast("string"))
+    given = bank.where(short & (way < 3)).select(student.alias("student_id"), "test_id", "question_id", response.alias("response"))
+    return sc.score_tests(bank, said.unionByName(given))
+
+
+@query(
+    "mixed_item_scores",
+    f"""with {MIXED_ITEMS_SQL} select student_id, test_id, question_id, question_type, points_earned::bigint as points_earned,
+    points_possible::bigint as points_possible, is_correct from judged""",
+)
+def mixed_item_scores(spark, sf):
+    """Whole tests of choices, short answers and essays, every question scored by its kind."""
+    items = _mixed_items(spark, sf)
+    return items.select(
+        "student_id", "test_id", "question_id", "question_type", big("points_earned"), big("points_possible"), "is_correct"
+    )
+
+
+@query(
+    "mixed_test_scores",
+    f"""with {MIXED_ITEMS_SQL} select student_id, test_id, sum(points_earned)::bigint as earned, sum(points_possible)::bigint as possible,
+      count(*) filter (is_correct) as correct, round(sum(points_earned)::double / sum(points_possible) * 100, 6) as percentage
+    from judged group by student_id, test_id""",
+)
+def mixed_test_scores(spark, sf):
+    """The same tests as totals."""
+    told = sc.test_scores(sc.roll_up(_mixed_items(spark, sf)))
+    return told.select(
+        "student_id",
+        "test_id",
+        big("total_points_earned", "earned"),
+        big("total_points_possible", "possible"),
+        big("correct"),
+        r6("percentage_score", "percentage"),
+    )
+
+
 # The same tests with one more student each, who answered nothing.
 ABSENT_ITEMS_SQL = TEST_ITEMS_SQL.replace(
     "sat as (select distinct student_id, test_id from responses)",
