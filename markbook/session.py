@@ -42,7 +42,7 @@ def attach(spark: SparkSession) -> SparkSession:
         root = Path(__file__).resolve().parent
         archive = Path(tempfile.mkdtemp(prefix="markbook-")) / "markbook.zip"
         with zipfile.ZipFile(archive, "w") as out:
-            for file in sorted(root.rglob("*.py")):
+            for file in sorted([*root.rglob("*.py"), *root.rglob("*.json")]):
                 out.write(file, file.relative_to(root.parent))
         context.addPyFile(str(archive))
         _shipped[context.applicationId] = str(archive)

@@ -8,7 +8,8 @@ told apart, see ``schema``), and only then given the fixed schema.  No schema is
 
 from __future__ import annotations
 
-from pathlib import Path
+import json
+import pkgutil
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ EXAMPLE_SCHEMA = (
 )
 
 #: The rules of the document format, a draft-07 schema.
-FORMAT = schema.load_schema(Path(__file__).with_name("test_document.json"))
+FORMAT = json.loads(pkgutil.get_data("markbook.sources", "test_document.json"))  # also out of a shipped archive
 _QUESTION = "#/definitions/question"
 
 

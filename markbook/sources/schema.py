@@ -12,10 +12,8 @@ number with a zero fraction is an integer; a boolean is not.  A null is a value
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from itertools import count
-from pathlib import Path
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,10 +35,6 @@ class SchemaError(ValueError):
     """A schema that is wrong, or asks for more than an expression can say."""
 
 
-def load_schema(path: str | Path) -> dict:
-    return json.loads(Path(path).read_text())
-
-
 def _text(value: str) -> str:
     escaped = value.replace("\\", "\\\\").replace("'", "\\'")
     return f"'{escaped}'"
