@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from markbook.plans.files import exists, file_system
+from markbook.plans.joins import small
 from markbook.plans.positions import numbered_lines
 from markbook.sources import documents
 
@@ -41,6 +42,7 @@ QUESTION_COLUMNS = (
 HEAD, FOOT = '{"test_metadata":', "]}"
 _HEADER, _QUESTION = 0, 1
 _COPY = 1 << 22  # bytes copied at a time
+PACKING = "zstd"
 
 
 def file_name(test_id: str) -> str:
@@ -55,6 +57,7 @@ class Piece:
     test_id: str
     path: str
     task: int
+    packing: str | None = None
     headed: bool = False
     questions: int = 0
 
@@ -85,9 +88,11 @@ class _Task:
     def add(self, test_id: str, kind: int, bodies: list[str]) -> None:
         if self.piece is None or self.piece.test_id != test_id:
             self.close(last=False)
+            # The first test may fill the task and is copied later: it is kept compressed till then.
+            packing = None if self.tests else PACKING
             name = f"{self.own}/{self.tests}-{uuid.uuid4().hex}"
-            self.piece = Piece(test_id, name, self.number)
-            self.out = self.fs.open_output_stream(name, buffer_size=1 << 20)
+            self.piece = Piece(test_id, name, self.number, packing)
+            self.out = self.fs.open_output_stream(name, buffer_size=1 << 20, compression=packing)
             self.tests += 1
         if kind == _HEADER:
             if not self.piece.headed:  # of several rows of one test the first one counts
@@ -173,7 +178,7 @@ def _joined(folder: str, pieces: list[Piece]) -> bool:
     with fs.open_output_stream(target, buffer_size=1 << 20) as out:
         questions = 0
         for piece in sorted(pieces, key=lambda p: p.task):
-            with fs.open_input_stream(piece.path) as source:
+            with fs.open_input_stream(piece.path, compression=piece.packing) as source:
                 if not piece.headed and not questions and piece.questions:
                     source.read(1)  # the comma before the first question
                 while part := source.read(_COPY):
@@ -272,7 +277,7 @@ def read_test_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     )
     rows = (
         question.select("file", (F.col("line_no") - 1).alias("question_no"), documents.parsed_question("document").alias("q"))
-        .join(tests, "file")
+        .join(small(tests), "file")
         .select("file", F.col("test_metadata.test_id").alias("test_id"), "test_metadata", "question_no", "count_matches", "q.*")
     )
     return rows, rejected
