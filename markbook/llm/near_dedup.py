@@ -39,6 +39,8 @@ BANDS = 40
 #: deviations below the threshold.
 LEAST_ESTIMATE = 0.55
 BLOCK = 512
+#: Hashes of a block's sets that are met at a time.
+AT_ONCE = 1 << 19
 
 _COUNT = (ROWS * BANDS + 1) // 2
 _FACTORS = np.array([xxhash.xxh32_intdigest(b"factor %d" % i) | 1 for i in range(_COUNT)], dtype=np.uint32)
@@ -206,34 +208,48 @@ class _Members:
 
 
 def _common(sets: list[np.ndarray], pairs: list[tuple[int, np.ndarray]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Sizes of the intersections of each first member with its others, as matrix products."""
+    """Sizes of the intersections of each first member with its others, as matrix products.
+
+    The sets are sorted hashes: they are met by ranges of hashes, so that what is copied
+    of them has a bound, and the sizes are summed over the ranges.
+    """
     pairs = [(i, other) for i, other in pairs if len(other)]
     if not pairs:
         return
     used = np.unique(np.concatenate([[i for i, _ in pairs], *[other for _, other in pairs]]))
-    place = {int(m): k for k, m in enumerate(used)}
-    values, inverse, times = np.unique(
-        np.concatenate([sets[m] for m in used]), return_inverse=True, return_counts=True
-    )
-    owner = np.repeat(np.arange(len(used)), [len(sets[m]) for m in used])
+    chosen = [sets[m] for m in used]
+    firsts = np.searchsorted(used, [i for i, _ in pairs])
+    ranges = sum(map(len, chosen)) // AT_ONCE + 1
+    total = np.zeros((len(firsts), len(used)), dtype=np.float32)
+    ends = np.zeros(len(used), dtype=np.int64)
+    for k in range(1, ranges + 1):
+        begins = ends
+        if k < ranges:
+            limit = np.uint64((k << 64) // ranges)
+            ends = np.array([np.searchsorted(s, limit) for s in chosen])
+        else:
+            ends = np.array([len(s) for s in chosen])
+        _add_common([s[a:b] for s, a, b in zip(chosen, begins, ends, strict=True)], firsts, total)
+    for (i, other), row in zip(pairs, total, strict=True):
+        yield i, other, row[np.searchsorted(used, other)].astype(np.int64)
+
+
+def _add_common(sets: list[np.ndarray], firsts: np.ndarray, total: np.ndarray) -> None:
+    """Add the sizes of the intersections of some members (rows) with all (columns)."""
+    values, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     shared = times[inverse] > 1  # what one member has alone is in no intersection
     renamed = np.cumsum(times > 1) - 1
     column, owner = renamed[inverse[shared]], owner[shared]
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
-    firsts = np.array([place[i] for i, _ in pairs])
     width = int((times > 1).sum())
-    for start in range(0, len(firsts), 512):
-        chosen = firsts[start : start + 512]
-        total = np.zeros((len(chosen), len(used)), dtype=np.float32)
-        for low in range(0, width, 2048):
-            a, b = np.searchsorted(column, (low, low + 2048))
-            flags = np.zeros((len(used), min(2048, width - low)), dtype=np.float32)
-            flags[owner[a:b], column[a:b] - low] = 1
-            total += flags[chosen] @ flags.T
-        for k, (i, other) in enumerate(pairs[start : start + 512]):
-            at = np.array([place[int(m)] for m in other])
-            yield i, other, total[k, at].astype(np.int64)
+    for low in range(0, width, 2048):
+        a, b = np.searchsorted(column, (low, low + 2048))
+        flags = np.zeros((len(sets), min(2048, width - low)), dtype=np.float32)
+        flags[owner[a:b], column[a:b] - low] = 1
+        for start in range(0, len(firsts), 512):
+            total[start : start + 512] += flags[firsts[start : start + 512]] @ flags.T
 
 
 def _across(percent: int):
@@ -248,11 +264,12 @@ def _across(percent: int):
 
         for batch in batches:
             names = ("key", "one", "two", "id", "component", "set", "sign")
-            for key, one, two, *row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                if (key, one, two) != current:
+            for key, one, two, *row in zip(*(batch.column(c) for c in names), strict=True):
+                place = key.as_py(), one.as_py(), two.as_py()
+                if place != current:
                     yield out(members.joins(percent))
-                    members, current = _Members(), (key, one, two)
-                members.add(*row)
+                    members, current = _Members(), place
+                members.add(*(value.as_py() for value in row))
         yield out(members.joins(percent))
 
     return run

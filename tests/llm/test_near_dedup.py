@@ -1,5 +1,6 @@
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -107,3 +108,22 @@ def test_connected_components(spark):
             low, high = min(x, y), max(x, y)
             want = {n: low if c == high else c for n, c in want.items()}
     assert got == want
+
+
+def test_large_sets_meet_by_ranges_of_hashes():
+    draw = np.random.default_rng(3)
+    base = draw.integers(0, 2**64, 30_000, dtype=np.uint64)
+    members, sets = near_dedup._Members(), {}
+    for i in range(160):  # every second one shares nine tenths with the others, the rest nothing
+        own = draw.integers(0, 2**64, 30_000 if i % 2 else 3_000, dtype=np.uint64)
+        sets[i] = np.unique(own if i % 2 else np.concatenate([base[:27_000], own]))
+        members.add(i, i, sets[i].tobytes(), bytes(200))
+    tracemalloc.start()
+    links = members.joins(75)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # all of the sets at once: 38 MB, five times over
+    assert len(links) == 79 and all(a % 2 == b % 2 == 0 for a, b in links)
+    pairs = [(0, np.array([1, 2, 4])), (3, np.array([5, 6]))]
+    for i, other, counts in near_dedup._common([sets[i] for i in range(8)], pairs):
+        assert counts.tolist() == [len(np.intersect1d(sets[i], sets[j])) for j in other]
