@@ -1,5 +1,6 @@
 import pytest
 
+from markbook import session
 from markbook.llm import common
 from tests.llm.frames import frame, result
 
@@ -26,3 +27,15 @@ def test_a_staged_table_keeps_rows_and_types(spark):
     rows = frame(spark, [(1, "a"), (None, None)])
     staged = common.stage(rows)
     assert staged.dtypes == rows.dtypes and result(staged) == result(rows)
+
+
+def test_sessions_of_others_get_small_batches(spark):
+    other = spark.newSession()
+    other.conf.set(session.BATCH_ROWS, "10000")
+    session.attach(other)
+    assert other.conf.get(session.BATCH_ROWS) == session.SETTINGS[session.BATCH_ROWS]
+    sizes = other.range(3_000, numPartitions=1).mapInArrow(lambda batches: (b.slice(0, 1) for b in batches), "id long")
+    assert sizes.count() == 2 and common.stage(sizes).count() == 6
+    assert other.conf.get(session.BATCH_ROWS) == session.SETTINGS[session.BATCH_ROWS]
+    other.conf.set(session.BATCH_ROWS, "100")
+    assert session.attach(other).conf.get(session.BATCH_ROWS) == "100" and common.stage(sizes).count() == 30
