@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 from difflib import SequenceMatcher
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from markbook.config import DEFAULT, Config
 from markbook.functions import similarity as sim
 from markbook.functions.lexicon import ENGLISH_STOP_WORDS, VECTORIZER_STOP_WORDS
-from markbook.functions.stemming import stem
+from markbook.functions.stemming import REMEMBERED, stem
 
 # Stems published with the algorithm and its usual extensions.
 STEMS = {
@@ -97,3 +98,17 @@ def test_normalize(spark):
         ("", ""),
     ]
     assert DEFAULT.similarity_threshold == 0.8
+
+
+def test_remembered_stems_stay_small():
+    tracemalloc.start()
+    try:
+        before = tracemalloc.get_traced_memory()[0]
+        for i in range(200_000):
+            stem(f"wordlike{i}")
+        for i in range(2_000):
+            stem(f"{i}" + "x" * 20_000)
+        held = tracemalloc.get_traced_memory()[0] - before
+    finally:
+        tracemalloc.stop()
+    assert held < 600 * REMEMBERED
